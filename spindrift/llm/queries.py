@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import exact_dedup, line_dedup, packing, pii, token_store
+from spindrift.llm import exact_dedup, line_dedup, packing, piece_codec, pii, token_store
 from spindrift.llm.common import table
 
 
@@ -37,6 +37,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(*exact_dedup.halves(table(spark, sf_dir, "documents")))
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [pii.count_kind(F.col("spans"), k.name).alias(f"n_{k.name}") for k in pii.KINDS if k.base]
@@ -50,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op6_line_dedup": op6_line_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_piece_codec": op8_piece_codec,
         "op9_pii": op9_pii,
     }
 
