@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import exact_dedup, line_dedup, minhash_dedup, packing, piece_codec, pii, token_store
+from spindrift.llm import embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, piece_codec, pii, quality, token_store
 from spindrift.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -55,15 +59,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op3_packing": op3_packing,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_piece_codec": op8_piece_codec,
         "op9_pii": op9_pii,
+        "op10_quality": op10_quality,
     }
 
 
