@@ -115,14 +115,20 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     further columns are ignored.
     """
     docs = columns(docs, doc_id=doc_id, text=text)
-    text_col = F.coalesce(F.col("text"), F.lit(""))
-    none, found = F.array().cast("array<string>"), {}
-    for k in kinds:
-        could = text_col.contains(k.within) if k.within else F.lit(True)
-        found[f"m_{k.name}"] = F.when(could, F.regexp_extract_all(text_col, F.lit(k.pattern), F.lit(0))).otherwise(none)
-    docs = docs.select("doc_id", "text", *[c.alias(n) for n, c in found.items()])
-    spans = [F.when(F.size(f"m_{k.name}") > 0, _spans(k, text_col, F.col(f"m_{k.name}"), F.split(text_col, k.pattern, -1))).otherwise(F.array().cast(f"array<{SPAN}>")) for k in kinds]
-    return docs.select("doc_id", "text", F.concat(*spans).alias("spans"))
+    return docs.withColumn("spans", span_column(F.coalesce(F.col("text"), F.lit("")), kinds))
+
+
+def span_column(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """The spans of a text that isn't null, as find_personal_data gives them."""
+    nothing = F.array().cast(f"array<{SPAN}>")
+
+    def of_kind(kind: Kind) -> Column:
+        # Matches are bound to a lambda's variable, so that they are looked for once.
+        matches = F.array(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)))
+        found = F.flatten(F.transform(matches, lambda m: F.when(F.size(m) > 0, _spans(kind, text, m, F.split(text, kind.pattern, -1))).otherwise(nothing)))
+        return F.when(text.contains(kind.within), found).otherwise(nothing) if kind.within else found
+
+    return F.concat(*map(of_kind, kinds))
 
 
 def span_list(spans: Column) -> Column:
