@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, piece_codec, pii, quality, token_store
+from spindrift.llm import embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, piece_codec, pii, quality, suffix_dedup, token_store
 from spindrift.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_summaries(store, spark)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, with_ids=False)
     return pieces.drop("ids")
@@ -69,6 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_packing": op3_packing,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
