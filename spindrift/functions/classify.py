@@ -149,7 +149,7 @@ TIER_SECONDS = {"P0": 900, "P1": 3600, "P2": 86_400, "P3": 604_800}
 def priority(tier: Column, sources: Column, jobs: Column, relevant: Column, failures: Column, last_job: Column, now: Column) -> Column:
     """Rank of a target: tier, capped counters, failures, how recently it had a posting."""
     base = F.coalesce(*[F.when(tier == t, F.lit(b)) for t, b in TIER_BASE.items()], F.lit(20.0))
-    hours = F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp(last_job)) / 3600)
+    hours = F.when(last_job.isNotNull(), F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp(last_job)) / 3600))
     total = base + F.least(F.coalesce(sources, F.lit(1)), F.lit(10)) * 0.5 + F.least(F.coalesce(jobs, F.lit(0)), F.lit(100)) * 0.2
     total = total + F.least(F.coalesce(relevant, F.lit(0)), F.lit(50)) * 1.5 - F.coalesce(failures, F.lit(0)) * 8
     return F.greatest(F.lit(0.0), F.bround(total + F.when(hours < 24, 25).when(hours < 168, 10).otherwise(0), 2))

@@ -169,7 +169,7 @@ def _visits(read) -> DataFrame:
 @query(f"""
 SELECT c_custkey, greatest(0.0, round_even(CASE tier WHEN 'P0' THEN 100.0 WHEN 'P1' THEN 60.0 WHEN 'P2' THEN 20.0 ELSE 5.0 END + 0.5 + least(n, 100) * 0.2 + least(big, 50) * 1.5
 - failures * 8 + CASE WHEN hours < 24 THEN 25 WHEN hours < 168 THEN 10 ELSE 0 END, 2))::DOUBLE AS priority
-FROM (SELECT *, greatest(0, epoch(TIMESTAMP '2001-08-02') - epoch(latest)) / 3600.0 AS hours FROM ({_VISITS}))
+FROM (SELECT *, CASE WHEN latest IS NOT NULL THEN greatest(0, epoch(TIMESTAMP '2001-08-02') - epoch(latest)) / 3600.0 END AS hours FROM ({_VISITS}))
 """)
 def priority_score(read):
     rows = _visits(read)
