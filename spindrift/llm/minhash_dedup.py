@@ -270,7 +270,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     families = materialise(components(placed.join(pivots, "key").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))), "families")
     sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = families.join(sizes, "component").select(F.col("component").alias("family"), F.col("vertex").alias("rep"), "blocks", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.join(members, F.col("doc_id") == F.col("rep")).where(F.col("text").isNotNull())
+    # Merged at every size: a broadcast that only small inputs get would hide what the join costs.
+    texts = docs.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).where(F.col("text").isNotNull())
     pairs = texts.select("family", "rep", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("family", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "block", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
