@@ -85,7 +85,7 @@ def _shingle_slice(joined: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letters()[data] * up[: len(data)])])
     words = _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     spread = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
-    for i in range(WORDS):
+    for i in range(WORDS if len(spread) else 0):
         spread += words[i : len(words) - WORDS + 1 + i] * _PLACES[i]
     spread = _mix(spread)
     ends = np.searchsorted(stops, np.flatnonzero(data == 10)) + 1
