@@ -44,7 +44,8 @@ class Store:
     path: str
 
     def chunks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("key binary, width int, ids binary").parquet(f"{self.path}/data/kind=chunk").withColumnRenamed("key", "digest")
+        data = spark.read.schema("kind string, key binary, width int, ids binary").parquet(f"{self.path}/data")
+        return data.where(F.col("kind") == "chunk").select(F.col("key").alias("digest"), "width", "ids")
 
     def recipes(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/recipes")
@@ -128,8 +129,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc
     docs = columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
     data = docs.mapInArrow(_encode(tokenizer, end_id), DATA).repartition(parts, "key").sortWithinPartitions("kind", "key").mapInArrow(_first_of_each, DATA)
     data.write.partitionBy("kind").option("compression", "zstd").parquet(f"{store.path}/data")
-    encoded = spark.read.schema(DATA.replace("kind string, ", "")).parquet(f"{store.path}/data")
-    encoded = encoded.where(F.col("doc_id").isNotNull() | F.col("n_tokens").isNotNull()).select("doc_id", "n_tokens", "digests", "ends", F.sha2(F.array_join(F.transform("digests", F.hex), ""), 256).alias("root"))
+    encoded = spark.read.schema(DATA).parquet(f"{store.path}/data").where(F.col("kind") == "recipe").select("doc_id", "n_tokens", "digests", "ends", F.sha2(F.array_join(F.transform("digests", F.hex), ""), 256).alias("root"))
     sorted_recipes = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root").withColumn("shard", F.spark_partition_id())
     sorted_recipes.write.option("compression", "zstd").parquet(f"{store.path}/sorted")
     held = spark.read.schema(sorted_recipes.schema).parquet(f"{store.path}/sorted")
