@@ -37,7 +37,7 @@ SHALLOW = 64
 #: Occurrences beyond which an anchor's windows are matched by hash, spread over tasks, instead of sorted together.
 HOT = 20_000
 #: Bytes of text of a shard, the unit that meets its repeated anchors in one task.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 8_000_000
 #: Bytes hashed at a time.
 SLICE = 1 << 20
 _BASE = 0x5851F42D4C957F2D
