@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import classify, extract, text, urls
 from spindrift.operators import rollups, schedule, search, similar, tables
+from spindrift.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -480,3 +482,34 @@ def url_targets(read):
     t = urls.target(F.col("url"))
     return p.select("page_id", t["platform"].alias("platform"), t["slug"].alias("slug"), urls.without_tracking(F.col("url")).alias("clean_url"))
 
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over events to its end into a table of the shared folder, and read that."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/spindrift"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    source = f"{sf_dir}/events.parquet"
+    # A pattern, because a stream's plain path must be a folder and the table may be one file.
+    stream = events.read_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(source).schema.simpleString()[7:-1].replace(":", " "))
+    out = flow(stream)
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive twice, each kept once."""
+    return _streamed(spark, sf_dir, "stream-dedup", lambda s: events.distinct(s.unionByName(s), ["event_id"]).select("event_id", "user_id", "event_type"))
+
+
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows that the watermark has closed."""
+    return _streamed(spark, sf_dir, "stream-days", lambda s: events.tumbling_counts(s, ["event_type"]).select(F.col("start").cast("date").alias("day"), "event_type", "n"))
+
+
+QUERIES |= {"stream_dedup": stream_dedup, "stream_daily_counts": stream_daily_counts}
+SQL |= {
+    "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
+    "stream_daily_counts": """
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2
+""",
+}
