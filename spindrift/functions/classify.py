@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import urls
 from spindrift.functions import vocabulary as V
+from spindrift.functions.extract import bound
 from spindrift.functions.text import squeeze
 
 
@@ -16,19 +17,31 @@ def _any_word(words) -> str:
     return "|".join(map(re.escape, words))
 
 
+def _holds(text: Column, words) -> Column:
+    """Whether any word is in the text; plain searches beat one long alternation."""
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | text.contains(w)
+    return hit
+
+
 def roles(title: Column, years: Column | None = None) -> Column:
     """Categories of a title in order of priority; early careers join New Grad unless a senior word stands beside."""
     t = F.lower(F.coalesce(title, F.lit("")))
-    hits = {c: t.rlike(_any_word(words.split("|"))) for c, words in V.ROLE_TERMS.items()}
-    any_role = F.lit(False)
-    for hit in hits.values():
-        any_role = any_role | hit
-    early = t.rlike(V.EARLY_ALONE) | (any_role & t.rlike(V.EARLY_BESIDE))
-    if years is not None:
-        early = early | (any_role & F.coalesce(years <= 2, F.lit(False)))
-    senior = t.rlike(V.SENIOR)
-    hits["New Grad"] = (hits["New Grad"] | early) & ~senior
-    return F.array_compact(F.array(*[F.when(hits[c], F.lit(c)) for c in V.CATEGORY_ORDER]))
+    names = {c: f"c{i}" for i, c in enumerate(V.CATEGORY_ORDER)}
+    hits = F.struct(*[_holds(t, V.ROLE_TERMS[c].split("|")).alias(n) for c, n in names.items()])
+
+    def listed(hit: Column) -> Column:
+        any_role = F.lit(False)
+        for n in names.values():
+            any_role = any_role | hit[n]
+        early = t.rlike(V.EARLY_ALONE) | (any_role & t.rlike(V.EARLY_BESIDE))
+        if years is not None:
+            early = early | (any_role & F.coalesce(years <= 2, F.lit(False)))
+        junior = (hit[names["New Grad"]] | early) & ~t.rlike(V.SENIOR)
+        return F.array_compact(F.array(*[F.when(junior if c == "New Grad" else hit[n], F.lit(c)) for c, n in names.items()]))
+
+    return bound(hits, listed)
 
 
 def role_weight(categories: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,15 +23,19 @@ def _amount(text: Column) -> Column:
     return F.when(F.length(digits) - F.length(F.replace(digits, F.lit("."), F.lit(""))) > 1, F.replace(digits, F.lit("."), F.lit(""))).otherwise(digits).try_cast("double")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: as a lambda's variable, which no later rule copies."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def salary(text: Column) -> Column:
     """(salary_min, salary_max, currency) of the first pattern whose first match is a plausible salary, or null.
 
     A match near revenue figures, out of limits or upside down falls through to the next pattern.
     """
-    plain, none = _plain(text), F.lit(None).cast(SALARY)
+    none = F.lit(None).cast(SALARY)
 
-    def attempt(pattern: str) -> Column:
-        found = F.regexp_substr(plain, F.lit(pattern))
+    def judge(plain: Column, found: Column, pattern: str) -> Column:
         at = F.instr(plain, found)
         first = F.greatest(at - 100, F.lit(1))
         around = F.substring(plain, first, at - first + F.length(found) + 100)
@@ -41,7 +46,10 @@ def salary(text: Column) -> Column:
         sound = (low >= V.SALARY_LIMITS[0]) & (high <= V.SALARY_LIMITS[1]) & (low <= high) & ~around.rlike(V.REVENUE)
         return F.when(found.isNotNull() & sound, F.struct(F.floor(low).cast("double").alias("salary_min"), F.floor(high).cast("double").alias("salary_max"), sign.alias("currency"))).otherwise(none)
 
-    return F.coalesce(*map(attempt, V.SALARIES))
+    def attempt(plain: Column, pattern: str) -> Column:
+        return bound(F.regexp_substr(plain, F.lit(pattern)), lambda found: judge(plain, found, pattern))
+
+    return F.when(text.rlike(r"[\$£€¥]|&#|&[a-z]+;"), bound(_plain(text), lambda plain: F.coalesce(*[attempt(plain, p) for p in V.SALARIES])))
 
 
 def salary_range(text: Column) -> Column:
@@ -59,8 +67,11 @@ def salary_range(text: Column) -> Column:
 
 def experience_years(text: Column) -> Column:
     """Least years of experience asked for, by the first pattern that matches, or null."""
-    plain = _plain(text)
-    return F.coalesce(*[F.nullif(F.regexp_extract(plain, p, 1), F.lit("")).try_cast("int") for p in V.EXPERIENCE])
+
+    def years(plain: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(plain, p, 1), F.lit("")).try_cast("int") for p in V.EXPERIENCE])
+
+    return F.when(F.lower(text).contains("year"), bound(_plain(text), years))
 
 
 def _first(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
@@ -86,8 +97,13 @@ def visa(text: Column) -> Column:
 
 
 def technologies(text: Column) -> Column:
-    """Known technologies named as words of their own, sorted."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(rf"(?iU)\b{re.escape(t)}\b"), F.lit(t)) for t in V.TECHNOLOGIES])))
+    """Known technologies named as words of their own, sorted. The cheap test for the letters goes before each pattern."""
+
+    def named(lower: Column) -> Column:
+        hits = [F.when(lower.contains(t.lower()) & lower.rlike(rf"(?U)\b{re.escape(t.lower())}\b"), F.lit(t)) for t in V.TECHNOLOGIES]
+        return F.array_sort(F.array_compact(F.array(*hits)))
+
+    return bound(F.lower(text), named)
 
 
 def metro(location: Column) -> Column:
