@@ -167,6 +167,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _cover(spans: list[tuple[int, int]], start: int, end: int) -> None:
+    """Add an interval; one that touches the last is joined to it at once."""
+    if spans and start <= spans[-1][1] and end >= spans[-1][0]:
+        spans[-1] = (min(start, spans[-1][0]), max(end, spans[-1][1]))
+    else:
+        spans.append((start, end))
+
+
 def _contexts(hot: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """A shard's texts and repeated anchors: contexts to compare elsewhere, and what the shard settles itself."""
@@ -179,6 +187,7 @@ def _contexts(hot: int):
             ids, rows, shard = left["doc_id"].to_pylist(), left["row"].to_pylist(), left["shard"][0].as_py()
             texts = [t or b"" for t in left["data"].to_pylist()]
             known, windows, settled = set(), {}, {}
+            looked_at = (-1, -1)
             for first, data, starts, ends in _slices(texts):
                 at, h = anchors(data, starts, ends)
                 spot = np.searchsorted(wanted, h)
@@ -193,18 +202,21 @@ def _contexts(hot: int):
                         continue
                     context = raw[low:high]
                     if total > hot:
-                        for s in range(low, min(p, high - LENGTH) + 1):
+                        # Windows up to the last one of the anchor before have been looked at.
+                        fresh = looked_at[1] + begin + 1 if looked_at[0] == i else low
+                        stop = min(p, high - LENGTH)
+                        looked_at = (i, stop - begin)
+                        for s in range(max(low, fresh), stop + 1):
                             digest = hashlib.blake2b(raw[s : s + LENGTH], digest_size=16).digest()
-                            place = windows.setdefault(digest, (i, s - begin))
-                            if place != (i, s - begin):
-                                settled.setdefault(i, []).append((s - begin, s - begin + LENGTH))
-                            elif (digest, i) not in known:
-                                known.add((digest, i))
+                            if digest in windows:
+                                _cover(settled.setdefault(i, []), s - begin, s - begin + LENGTH)
+                            else:
+                                windows[digest] = True
                                 k = np.frombuffer(digest, "<i8").tolist()
                                 out.append((1, k[0], k[1], ids[i], rows[i], shard, s - begin, 0, None))
                     elif (key, p - low, context) in known:
                         # An earlier equal context compares for this one: all its windows are repeats.
-                        settled.setdefault(i, []).append((low - begin, high - begin))
+                        _cover(settled.setdefault(i, []), low - begin, high - begin)
                     else:
                         known.add((key, p - low, context))
                         out.append((0, key, 0, ids[i], rows[i], shard, p - begin, p - low, context))
