@@ -20,6 +20,9 @@ CONTEXT = 40
 #: A further (not base) span stays from this score on.
 MIN_SCORE = 0.7
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
+PLACED = "struct<start:int,end:int,m:string>"
+#: Matches folded into one list at a time.
+FOLD = 256
 
 
 def _digits(m: Column) -> Column:
@@ -85,17 +88,26 @@ def _score(kind: Kind, around: Column) -> Column:
 def _spans(kind: Kind, text: Column, matches: Column, pieces: Column) -> Column:
     """The kind's spans that pass its check (and the least score, unless base), in order of start."""
 
+    none = F.array().cast(f"array<{PLACED}>")
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["length"]
         return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("found"))
 
-    cut = F.zip_with(matches, pieces, lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("length"), m.alias("m")))
+    def walk(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("found")), step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["found"], x["found"]).alias("found"))), 0)
+
+    cut = F.filter(F.zip_with(matches, pieces, lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("length"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    # Folding in blocks: appending one by one would copy the whole list for every match.
+    firsts = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / FOLD).cast("int"))
+    blocks = F.transform(firsts, lambda b: F.slice(cut, b * FOLD + 1, F.lit(FOLD)))
     placed = F.aggregate(
-        F.filter(cut, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("found")),
-        step,
-        lambda acc: F.filter(acc["found"], lambda x: kind.check(x["m"])),
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{PLACED}>>").alias("found")),
+        walk,
+        lambda acc: F.filter(F.flatten(acc["found"]), lambda x: kind.check(x["m"])),
     )
 
     def scored(x: Column) -> Column:

@@ -45,11 +45,10 @@ def new_model(seed: int = 7) -> Model:
 
 
 def _codes(text: bytes) -> np.ndarray:
-    """Bytes as 1-256 with at least one filter width; 0 pads."""
+    """Bytes as 1-256, padded with 0 so that filter steps end on the last byte or beyond it."""
     data = np.frombuffer(text, np.uint8).astype(np.int16) + 1
-    least = WIDTH + (-(len(data) - WIDTH) % STEP if len(data) > WIDTH else 0)
-    pad = max(WIDTH - len(data), -(len(data) - WIDTH) % STEP) if least else 0
-    return np.concatenate([data, np.zeros(pad, np.int16)]) if pad > 0 else data
+    length = WIDTH + -(-max(0, len(data) - WIDTH) // STEP) * STEP
+    return np.concatenate([data, np.zeros(length - len(data), np.int16)])
 
 
 def _responses(codes: np.ndarray, w: dict) -> np.ndarray:
