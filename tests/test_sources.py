@@ -78,3 +78,21 @@ def test_registry(spark):
     shapes = ['[{"company":"A","ats":"lever","slug":"a"}]', '{"companies":[{"name":"B","ats_type":"ashby","slug":"b"}]}', '{"gem":[{"company":"C","slug":"c"}]}']
     got = registry.read_registry(spark.createDataFrame([(s,) for s in shapes], "payload string")).collect()
     assert {(r.company, r.ats, r.slug) for r in got} == {("A", "lever", "a"), ("B", "ashby", "b"), ("C", "gem", "c")}
+
+
+def test_cards(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.sources import cards
+
+    today = F.lit("2026-03-05").cast("date")
+    page = '<a data-jk="k1"><span title="Data Engineer">x</span></a><span data-testid="company-name">Acme</span><div data-testid="text-location">Austin, TX</div><span class="date">3 days ago</span><a data-jk="k2"><span>Analyst</span></a>'
+    got = {r.job_id: r for r in cards.keyed_cards(spark.createDataFrame([(page,)], "html string"), today).collect()}
+    assert (got["indeed_k1"].title, got["indeed_k1"].company, got["indeed_k1"].location, got["indeed_k1"].date_posted) == ("Data Engineer", "Acme", "Austin, TX", "2026-03-02")
+    assert (got["indeed_k2"].title, got["indeed_k2"].company) == ("Analyst", "Unknown")
+    page = '<a href="/companies/big-co/jobs/Ab1-engineer" class="x"><b>Engineer</b></a> Remote (US) <a href="/careers/ml-lead">x</a>'
+    df = spark.createDataFrame([(page,)], "html string")
+    (r,) = cards.company_links(df).collect()
+    assert (r.job_id, r.title, r.company, r.location) == ("yc_Ab1-engineer", "Engineer", "Big Co", "Remote (US)")
+    (r,) = cards.slug_links(df, r'href="(/careers/([a-z0-9-]+))"', "https://c.example", "C", "cursor").collect()
+    assert (r.job_id, r.title, r.url) == ("ml-lead", "Ml Lead", "https://c.example/careers/ml-lead")
