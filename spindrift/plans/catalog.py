@@ -439,7 +439,7 @@ def posting_keys(read):
 @query()
 def near_duplicate_pairs(read):
     """Pairs of one language and different sources with a token Jaccard similarity of 0.6 or more."""
-    pairs = similar.near_duplicates(_firsts(read), "doc_id", F.concat_ws("/", "lang", F.substring(text.title_key(F.col("text")), 1, 12)), "source", "text")
+    pairs = similar.near_duplicates(_firsts(read), "doc_id", F.coalesce("lang", F.lit("")), "source", "text")
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -453,7 +453,7 @@ def _firsts(read) -> DataFrame:
 def cluster_survivors(read):
     """Clusters of near-duplicates and which row of each survives: the longest text, then the least id."""
     rows = _firsts(read)
-    pairs = similar.near_duplicates(rows, "doc_id", F.concat_ws("/", "lang", F.substring(text.title_key(F.col("text")), 1, 12)), "source", "text")
+    pairs = similar.near_duplicates(rows, "doc_id", F.coalesce("lang", F.lit("")), "source", "text")
     clusters = similar.components(pairs)
     return similar.survivors(rows, clusters, "doc_id", [F.length("text").desc(), F.col("doc_id")]).select("doc_id", "component", "survives")
 
