@@ -19,6 +19,12 @@ from spindrift.llm.common import columns
 CONTEXT = 40
 #: A further (not base) span stays from this score on.
 MIN_SCORE = 0.7
+#: Length of an account number (IBAN) by country, from the registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 PLACED = "struct<start:int,end:int,m:string>"
 #: Matches folded into one list at a time.
@@ -53,7 +59,11 @@ def mod97(code: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern without capturing groups, what a text must contain for it to match at all, a check, and words that raise or lower the score."""
+    """A pattern, what a text must contain for it to match at all, a check, and words that raise or lower the score.
+
+    A pattern has no capturing group, or takes only a match's first code points, head of them, and captures the whole
+    match looking ahead, so that one that fails its check hides none that starts within it.
+    """
 
     name: str
     pattern: str
@@ -63,6 +73,13 @@ class Kind:
     near: tuple[str, ...] = ()
     against: tuple[str, ...] = ()
     start_score: float = 0.6
+    head: int = 0
+
+
+def _iban() -> str:
+    """An account number from its start: as long as its country says, or else up to the last word end that 15 to 34 characters reach."""
+    fixed = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?+[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, codes in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=({fixed}|[A-Z]{{2}}[0-9]{{2}}(?: ?+[A-Z0-9]){{11,30}}(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 
 
 #: Longest run of digits and separators a match may hold is open, so lengths are checked after matching.
@@ -71,7 +88,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"), ".", near=("ip", "host", "address", "server"), against=("version", "release")),
     Kind("card", r"[0-9](?:[ -]?+[0-9])++", lambda m: F.length(_digits(m)).between(16, 19) & luhn(_digits(m)), near=("card", "visa", "pay", "credit"), against=("order", "invoice", "tracking")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(8, 15), "+", near=("phone", "call", "tel", "mobile"), against=("fax machine", "total")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda m: mod97(F.regexp_replace(m, " ", "")), base=False, near=("iban", "bank", "account", "konto", "compte", "cuenta"), against=("serial", "part number")),
+    Kind("iban", _iban(), lambda m: mod97(F.regexp_replace(m, " ", "")), base=False, near=("iban", "bank", "account", "konto", "compte", "cuenta"), against=("serial", "part number"), head=4),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), "-", base=False, near=("ssn", "social security"), against=("order", "part")),
 )
 
@@ -93,7 +110,7 @@ def _spans(kind: Kind, text: Column, matches: Column, pieces: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["length"]
-        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("found"))
+        return F.struct((start + kind.head if kind.head else end).alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("found"))
 
     def walk(acc: Column, block: Column) -> Column:
         inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("found")), step)
@@ -110,6 +127,12 @@ def _spans(kind: Kind, text: Column, matches: Column, pieces: Column) -> Column:
         lambda acc: F.filter(F.flatten(acc["found"]), lambda x: kind.check(x["m"])),
     )
 
+    def apart(found: Column, x: Column) -> Column:
+        return F.when(F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)) <= x["start"], F.array_append(found, x)).otherwise(found)
+
+    if kind.head:
+        placed = F.aggregate(placed, none, apart)
+
     def scored(x: Column) -> Column:
         first = F.greatest(x["start"] - CONTEXT, F.lit(0))
         around = F.lower(F.substring(text, first + 1, x["end"] + CONTEXT - first))
@@ -136,7 +159,7 @@ def span_column(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
 
     def of_kind(kind: Kind) -> Column:
         # Matches are bound to a lambda's variable, so that they are looked for once.
-        matches = F.array(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)))
+        matches = F.array(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.head else 0)))
         found = F.flatten(F.transform(matches, lambda m: F.when(F.size(m) > 0, _spans(kind, text, m, F.split(text, kind.pattern, -1))).otherwise(nothing)))
         return F.when(text.contains(kind.within), found).otherwise(nothing) if kind.within else found
 
