@@ -26,7 +26,7 @@ def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     token) differ in more bits than the sets may in tokens. Tokens stand as hashes until the last comparison; equal
     hashes only add candidates.
     """
-    rows = _kept(sets.where(F.size("tokens") > 0))
+    rows = kept(sets.where(F.size("tokens") > 0))
     words = rows.select("id", F.explode("tokens").alias("token"), "block").select("id", F.xxhash64("block", "token").alias("key"))
     counts = words.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     spot = F.pmod(F.shiftrightunsigned("key", 7), F.lit(WORDS))
@@ -52,7 +52,7 @@ def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     return full.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df written once to the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

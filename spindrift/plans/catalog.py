@@ -438,24 +438,39 @@ def posting_keys(read):
 
 @query()
 def near_duplicate_pairs(read):
-    """Pairs of one language and different sources with a token Jaccard similarity of 0.6 or more."""
-    pairs = similar.near_duplicates(_firsts(read), "doc_id", F.coalesce("lang", F.lit("")), "source", "text")
-    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
-def _firsts(read) -> DataFrame:
-    """One document of each text and source: equal ones need no comparison."""
-    d = read("documents").select("doc_id", "text", "lang", "source")
-    return d.groupBy(F.xxhash64("text", "source", "lang").alias("k"), F.md5("text").alias("m")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("lang").alias("lang"), F.first("source").alias("source")).drop("k", "m")
+    """Pairs of one language and different sources with a token Jaccard similarity of 0.6 or more, by representatives.
+
+    A representative is the least doc_id of a token set and language. Rows that are no copy pair representatives; copy
+    rows pair a representative (a) with each further document of its tokens (b, any source), if one of them is in a
+    pair at all. Two documents pair where their representatives do or are one, and their sources differ.
+    """
+    members, sets = _token_sets(read)
+    pairs = similar.kept(similar.similar_sets(sets).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit(False).alias("copy")))
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(sets.where("only IS NULL").select("id")).distinct()
+    copies = members.join(sets.join(linked, "id").select("id", "key", "block"), ["key", "block"]).where("doc_id <> id")
+    return pairs.unionByName(copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy")))
+
+
+def _token_sets(read) -> tuple[DataFrame, DataFrame]:
+    """Documents that may pair (doc_id, block, source, key, tokens, length), and one row of each token set: id, block, key, tokens, only (its source if it has one alone), best (which document survives)."""
+    d = read("documents").where(F.col("source").isNotNull())
+    rows = d.select("doc_id", F.coalesce("lang", F.lit("")).alias("block"), "source", F.length("text").alias("length"), F.array_sort(text.tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
+    members = similar.kept(rows.withColumn("key", F.md5(F.concat_ws(" ", "tokens"))))
+    best = F.min(F.struct((-F.col("length")).alias("order"), F.col("doc_id")))
+    sets = members.groupBy("key", "block").agg(F.min("doc_id").alias("id"), F.when(F.min("source") == F.max("source"), F.min("source")).alias("only"), best.alias("best"))
+    sets = sets.join(members.select(F.col("doc_id").alias("id"), "key", "block", "tokens"), ["id", "key", "block"]).dropDuplicates(["key", "block"])
+    return members, similar.kept(sets)
 
 
 @query()
 def cluster_survivors(read):
-    """Clusters of near-duplicates and which row of each survives: the longest text, then the least id."""
-    rows = _firsts(read)
-    pairs = similar.near_duplicates(rows, "doc_id", F.coalesce("lang", F.lit("")), "source", "text")
-    clusters = similar.components(pairs)
-    return similar.survivors(rows, clusters, "doc_id", [F.length("text").desc(), F.col("doc_id")]).select("doc_id", "component", "survives")
+    """Clusters of near-duplicates, a row for each document in one, and which of each survives: the longest text, then the least id."""
+    members, sets = _token_sets(read)
+    pairs = similar.similar_sets(sets).select("a", "b").unionByName(sets.where("only IS NULL").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    clusters = similar.components(pairs).withColumnRenamed("vertex", "id")
+    placed = sets.join(clusters, "id").select("key", "block", "component", "best")
+    first = placed.groupBy("component").agg(F.min("best").alias("first")).select("component", F.col("first.doc_id").alias("first"))
+    return members.join(placed.join(first, "component"), ["key", "block"]).select("doc_id", "component", (F.col("doc_id") == F.col("first")).alias("survives"))
 
 
 @query()
