@@ -23,7 +23,8 @@ def _posting(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
 
 def keyed_cards(pages: DataFrame, today: Column, html: str = "html") -> DataFrame:
     """Postings of result pages whose cards carry a data-jk key, with title, company, place and age in marked elements."""
-    cards = pages.select(F.explode(F.slice(F.split(html, 'data-jk="'), 2, 10_000)).alias("card"))
+    parts = F.split(html, 'data-jk="')
+    cards = pages.select(F.explode(F.slice(parts, 2, F.size(parts))).alias("card"))
     c = F.col("card")
 
     def marked(mark: str) -> Column:
