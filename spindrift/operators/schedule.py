@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.scratch import materialise
+
 
 def claim_order(now: Column, aging_days: float = 14, *, due: str = "next_due_at", tier: str = "tier", scores: list[str] | None = None, last: str = "slug") -> list[Column]:
     """Targets overdue for longer than aging_days first, then by tier, scores and due time; last breaks ties."""
@@ -41,22 +43,25 @@ def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
 
     Ranks come from range partitions and their totals, so no task holds all rows as a global window would.
     """
-    ranked = rank_all(df, key)
-    total = df.count()
-    size, longer = total // shards, total % shards
-    r = F.col("_rank") - 1
-    cut = longer * (size + 1)
-    slot = F.when(r < cut, F.floor(r / (size + 1))).otherwise(longer + F.floor((r - cut) / max(1, size)))
-    return ranked.withColumn("shard", slot.cast("int")).drop("_rank")
+    size = F.expr(f"_total div {shards}")
+    r, cut = F.col("_rank") - 1, (F.col("_total") % shards) * (size + 1)
+    slot = F.when(r < cut, F.floor(r / (size + 1))).otherwise(F.col("_total") % shards + F.floor((r - cut) / F.greatest(size, F.lit(1))))
+    return _ranked(df, key).withColumn("shard", slot.cast("int")).drop("_rank", "_total")
 
 
 def rank_all(df: DataFrame, key: str) -> DataFrame:
     """_rank 1.. in order of a unique key, over range partitions."""
-    parts = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    within = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    counts = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    return _ranked(df, key).drop("_total")
+
+
+def _ranked(df: DataFrame, key: str) -> DataFrame:
+    """_rank and _total: rows are sorted into ranges once and written with their place in them, so that both uses of the ranges see the same ones."""
+    placed = materialise(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at") - F.shiftleft("_part", 33) + 1)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_total"))
+    return placed.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_in") + F.col("_before")).drop("_at", "_part", "_in", "_before")
 
 
 def trailing_streak(df: DataFrame, key: str, order: list[str], bad: Column) -> DataFrame:

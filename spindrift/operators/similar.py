@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import jaccard, tokens
+from spindrift.scratch import materialise
 
 
 #: Longs of the parity map that goes with each prefix token.
@@ -26,7 +27,7 @@ def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     token) differ in more bits than the sets may in tokens. Tokens stand as hashes until the last comparison; equal
     hashes only add candidates.
     """
-    rows = kept(sets.where(F.size("tokens") > 0))
+    rows = materialise(sets.where(F.size("tokens") > 0), "token-sets")
     words = rows.select("id", F.explode("tokens").alias("token"), "block").select("id", F.xxhash64("block", "token").alias("key"))
     counts = words.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     spot = F.pmod(F.shiftrightunsigned("key", 7), F.lit(WORDS))
@@ -52,35 +53,6 @@ def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     return full.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/spindrift-components")
-    return df.checkpoint()
-
-
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(vertex, component): least vertex each one reaches, by repeated joins of labels; few rounds for groups of copies.
-
-    Each round is checkpointed, so lineage stays short and a lost executor costs one round.
-    """
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/spindrift-components")
-    both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("vertex")).agg(F.least("u", F.min("v")).alias("component")).checkpoint()
-    while True:
-        offers = both.join(labels, both.v == labels.vertex).groupBy(F.col("u").alias("vertex")).agg(F.min("component").alias("offer"))
-        step = labels.join(offers, "vertex").select("vertex", F.least("component", "offer").alias("component"), (F.col("offer") < F.col("component")).alias("moved"))
-        jump = step.select(F.col("vertex").alias("component"), F.col("component").alias("over"))
-        new = step.join(jump, "component").select("vertex", F.least("component", "over").alias("component"), "moved").checkpoint()
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("vertex", "component")
-        if not moved:
-            return labels
-
-
 def survivors(rows: DataFrame, clusters: DataFrame, ident: str, order: list[Column]) -> DataFrame:
     """Clustered rows with survives: the first of each cluster by the order."""
     joined = rows.join(clusters, F.col(ident) == F.col("vertex")).drop("vertex")

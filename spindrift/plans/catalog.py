@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import classify, extract, text, urls
 from spindrift.operators import rollups, schedule, search, similar, tables
+from spindrift.operators.components import components
+from spindrift.scratch import materialise, scratch_path
 from spindrift.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -445,7 +446,7 @@ def near_duplicate_pairs(read):
     pair at all. Two documents pair where their representatives do or are one, and their sources differ.
     """
     members, sets = _token_sets(read)
-    pairs = similar.kept(similar.similar_sets(sets).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit(False).alias("copy")))
+    pairs = materialise(similar.similar_sets(sets).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit(False).alias("copy")), "pairs")
     linked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(sets.where("only IS NULL").select("id")).distinct()
     copies = members.join(sets.join(linked, "id").select("id", "key", "block"), ["key", "block"]).where("doc_id <> id")
     return pairs.unionByName(copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy")))
@@ -455,11 +456,11 @@ def _token_sets(read) -> tuple[DataFrame, DataFrame]:
     """Documents that may pair (doc_id, block, source, key, tokens, length), and one row of each token set: id, block, key, tokens, only (its source if it has one alone), best (which document survives)."""
     d = read("documents").where(F.col("source").isNotNull())
     rows = d.select("doc_id", F.coalesce("lang", F.lit("")).alias("block"), "source", F.length("text").alias("length"), F.array_sort(text.tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
-    members = similar.kept(rows.withColumn("key", F.md5(F.concat_ws(" ", "tokens"))))
+    members = materialise(rows.withColumn("key", F.md5(F.concat_ws(" ", "tokens"))), "token-members")
     best = F.min(F.struct((-F.col("length")).alias("order"), F.col("doc_id")))
     sets = members.groupBy("key", "block").agg(F.min("doc_id").alias("id"), F.when(F.min("source") == F.max("source"), F.min("source")).alias("only"), best.alias("best"))
     sets = sets.join(members.select(F.col("doc_id").alias("id"), "key", "block", "tokens"), ["id", "key", "block"]).dropDuplicates(["key", "block"])
-    return members, similar.kept(sets)
+    return members, materialise(sets, "token-sets")
 
 
 @query()
@@ -467,7 +468,7 @@ def cluster_survivors(read):
     """Clusters of near-duplicates, a row for each document in one, and which of each survives: the longest text, then the least id."""
     members, sets = _token_sets(read)
     pairs = similar.similar_sets(sets).select("a", "b").unionByName(sets.where("only IS NULL").select(F.col("id").alias("a"), F.col("id").alias("b")))
-    clusters = similar.components(pairs).withColumnRenamed("vertex", "id")
+    clusters = components(pairs).withColumnRenamed("vertex", "id")
     placed = sets.join(clusters, "id").select("key", "block", "component", "best")
     first = placed.groupBy("component").agg(F.min("best").alias("first")).select("component", F.col("first.doc_id").alias("first"))
     return members.join(placed.join(first, "component"), ["key", "block"]).select("doc_id", "component", (F.col("doc_id") == F.col("first")).alias("survives"))
@@ -498,11 +499,9 @@ def url_targets(read):
     return p.select("page_id", t["platform"].alias("platform"), t["slug"].alias("slug"), urls.without_tracking(F.col("url")).alias("clean_url"))
 
 
-
 def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over events to its end into a table of the shared folder, and read that."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/spindrift"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     source = f"{sf_dir}/events.parquet"
     # A pattern, because a stream's plain path must be a folder and the table may be one file.
     stream = events.read_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(source).schema.simpleString()[7:-1].replace(":", " "))

@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from spindrift.operators import rollups, schedule, search, similar, tables
+from spindrift.operators.components import components
 from spindrift.streaming import events
 
 def now():
@@ -111,10 +112,39 @@ def test_near_duplicates_equal_brute_force(spark):
     sets = {i: set(t.split()) for i, _, _, t in rows}
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] != b[1] and a[2] == b[2] and sets[a[0]] and sets[b[0]] and len(sets[a[0]] & sets[b[0]]) / len(sets[a[0]] | sets[b[0]]) >= 0.6}
     assert got == want and want
-    clusters = {r.vertex: r.component for r in similar.components(spark.createDataFrame(sorted(want), "a long, b long")).collect()}
+    clusters = {r.vertex: r.component for r in components(spark.createDataFrame(sorted(want), "a long, b long")).collect()}
     assert all(clusters[a] == clusters[b] for a, b in want) and all(clusters[v] <= v for v in clusters)
 
 
+def test_components_of_hubs_chains_and_pairs(spark):
+    links = [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2040)] + [(5, 1000), (7, 8), (8, 7), (9, 9)]
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {5: 5, 1000: 5, 7: 7, 8: 7} | {i: 5 for i in range(1001, 1400)} | {i: 2000 for i in range(2000, 2041)}
+    assert got == want
+    names = components(spark.createDataFrame([(bytearray(b"b"), bytearray(b"a")), (None, bytearray(b"c"))], "a binary, b binary")).collect()
+    assert {(bytes(r.vertex), bytes(r.component)) for r in names} == {(b"a", b"a"), (b"b", b"a")}
+    assert not components(spark.createDataFrame([], "a long, b long")).collect()
+
+
+def test_ranks_of_wide_rows_over_small_partitions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")).dropDuplicates(["k"])
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        ranked = {r.k: r._rank for r in schedule.rank_all(rows, "k").select("k", "_rank").collect()}
+        whole = schedule.rank_all(rows, "k").agg(F.count("l_shipdate")).first()[0]
+        slices = {r.k: r.shard for r in schedule.shard(rows, "k", 7).select("k", "shard").collect()}
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    order = sorted(ranked)
+    assert whole == len(order) == rows.count() and [ranked[k] for k in order] == list(range(1, len(order) + 1))
+    size, longer = divmod(len(order), 7)
+    assert [slices[k] for k in order] == [i for i in range(7) for _ in range(size + (i < longer))]
+    assert schedule.shard(rows.where("k < 0"), "k", 7).count() == 0
+
+
 def test_breaker_rules():
     fresh = {"status": "closed", "opened": 0.0, "streak": 0, "last": []}
 
