@@ -467,8 +467,9 @@ def _token_sets(read) -> tuple[DataFrame, DataFrame]:
 def cluster_survivors(read):
     """Clusters of near-duplicates, a row for each document in one, and which of each survives: the longest text, then the least id."""
     members, sets = _token_sets(read)
-    pairs = similar.similar_sets(sets).select("a", "b").unionByName(sets.where("only IS NULL").select(F.col("id").alias("a"), F.col("id").alias("b")))
-    clusters = components(pairs).withColumnRenamed("vertex", "id")
+    linked = components(similar.similar_sets(sets).select("a", "b")).withColumnRenamed("vertex", "id")
+    # A token set found in two sources is a cluster even if no other set is like it.
+    clusters = linked.unionByName(sets.where("only IS NULL").select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
     placed = sets.join(clusters, "id").select("key", "block", "component", "best")
     first = placed.groupBy("component").agg(F.min("best").alias("first")).select("component", F.col("first.doc_id").alias("first"))
     return members.join(placed.join(first, "component"), ["key", "block"]).select("doc_id", "component", (F.col("doc_id") == F.col("first")).alias("survives"))
