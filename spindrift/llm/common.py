@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.scratch import materialise, scratch_path  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/spindrift"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the session names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: later steps neither recompute it nor depend on one executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that a task turns into Python objects at a time; a longer text stands alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose values of the column hold about most bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 Each document's ids are cut where a rolling hash over the last ids says so, so equal passages give equal chunks
 wherever they stand. A chunk is stored once under its digest; a document is a recipe, the list of its digests. Recipes
-lie in files in ascending order of document, and a Merkle manifest over them seals the store: chunk digests under a
-document's root, roots of up to 1024 neighbours under a node, and so on up to one root.
+lie in files in ascending order of document, and a Merkle manifest over them seals the store: a document's id, place,
+lengths and chunk digests under its root, roots of up to 1024 neighbours under a node, and so on up to one root.
 
-Layout of a store: data/kind=chunk (digest, width, ids), data/kind=recipe (as encoded), recipes (shard, seq, doc_id,
-start, n_tokens, digests, ends, root), manifest (level, node, hash).
+Layout of a store: data/kind=chunk (digest, width, ids), data/kind=recipe (as encoded), recipes (shard, place, within,
+doc_id, n_tokens, digests, ends), shards (shard, base, docs_before: a row a file of recipes), manifest (level, node,
+hash).
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import columns, scratch_path
+from spindrift.llm.common import columns, scratch_path, slices
 from spindrift.llm.word_ids import encoder
 
 #: Ids of a chunk: at least, on average beyond that (a power of two), at most.
@@ -36,6 +37,7 @@ ROLL = 16
 SEEN_DIGESTS = 200_000
 FANOUT = 1024
 DATA = "kind string, key binary, width int, ids binary, doc_id long, n_tokens long, digests array<binary>, ends array<long>"
+RECIPES = "shard int, place long, within long, doc_id long, n_tokens long, digests array<binary>, ends array<long>"
 _DATA = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64()))])
 
 
@@ -48,7 +50,12 @@ class Store:
         return data.where(F.col("kind") == "chunk").select(F.col("key").alias("digest"), "width", "ids")
 
     def recipes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/recipes")
+        """seq, doc_id, start, n_tokens, digests, ends and root of every document."""
+        shards = F.broadcast(spark.read.parquet(f"{self.path}/shards"))  # a row a shuffle partition of the writer
+        rows = spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").join(shards, "shard")
+        rows = rows.select((F.col("docs_before") + F.col("place")).alias("seq"), "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "digests", "ends")
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "start", "n_tokens")]
+        return rows.withColumn("root", F.sha2(F.concat_ws("|", *parts, F.array_join(F.col("ends").cast("array<string>"), ","), F.array_join(F.transform("digests", F.hex), ",")), 256))
 
     def manifest(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/manifest")
@@ -76,12 +83,11 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[int]:
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, seen = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), set()
-        for batch in batches:
-            rows = batch.to_pydict()
-            packed = [enc.encode(t or "") + end for t in rows["text"]]
-            ids = np.frombuffer(b"".join(packed), "<u4")
-            ends = np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)
+        enc, seen = encoder(tokenizer), set()
+        for batch in (part for whole in batches for part in slices(whole)):
+            doc_ids = batch["doc_id"].to_pylist()
+            ids, counts = enc.encode_ended(batch["text"].to_pylist(), end_id)
+            ends = np.cumsum(counts, dtype=np.int64)
             narrow = bool(len(ids)) and ids.max() < 65536
             width, raw = (2, ids.astype("<u2").tobytes()) if narrow else (4, ids.tobytes())
             out, doc, at, digests, stops, begin = [], 0, 0, [], [], 0
@@ -97,53 +103,43 @@ def _encode(tokenizer: str, end_id: int):
                     out.append(("chunk", digest, width, payload, None, None, None, None))
                 at = cut
                 if cut == ends[doc]:
-                    out.append(("recipe", hashlib.blake2b(digest + str(rows["doc_id"][doc]).encode(), digest_size=16).digest(), None, None, rows["doc_id"][doc], cut - begin, digests, stops))
+                    out.append(("recipe", hashlib.blake2b(digest + str(doc_ids[doc]).encode(), digest_size=16).digest(), None, None, doc_ids[doc], cut - begin, digests, stops))
                     doc, begin, digests, stops = doc + 1, cut, [], []
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _DATA, strict=True)] if out else [pa.array([], f.type) for f in _DATA], schema=_DATA)
 
     return run
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of neighbouring chunks of one digest the first; recipes all stay."""
-    last = None
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted recipes with their file's number, their place in it and the ids before them in it."""
+    shard, place, within = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, kind = batch["key"], batch["kind"]
-        before = pa.concat_arrays([pa.array([last], pa.binary()), key.slice(0, len(key) - 1)]) if len(key) > 1 else pa.array([last], pa.binary())
-        fresh = pc.fill_null(pc.not_equal(key, before), True)
-        last = key[-1].as_py()
-        yield batch.filter(pc.or_(fresh, pc.equal(kind, "recipe")))
+        n, tokens = batch.num_rows, batch["n_tokens"].to_numpy()
+        before = within + np.cumsum(tokens) - tokens
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(place, place + n)), pa.array(before), *batch.columns], names=["shard", "place", "within", *batch.schema.names])
+        place, within = place + n, within + int(tokens.sum())
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> Store:
     """Encode whole texts, append end_id to each, and write a store.
 
     Null text counts as empty (the end id alone), a null id sorts first, rows that repeat an id stand side by side in
-    the order of their roots, an empty table gives an empty store; further columns are ignored.
+    the order of their ids' number and chunks, an empty table gives an empty store; further columns are ignored.
     """
     spark = docs.sparkSession
     store = Store(path or scratch_path(spark, "token-store"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
-    data = docs.mapInArrow(_encode(tokenizer, end_id), DATA).repartition(parts, "key").sortWithinPartitions("kind", "key").mapInArrow(_first_of_each, DATA)
+    # Of chunks of one digest, a row a task at most, the first is stored; recipes all are.
+    again = F.row_number().over(Window.partitionBy("kind", "key").orderBy("width"))
+    data = docs.mapInArrow(_encode(tokenizer, end_id), DATA).repartition(parts, "key").withColumn("_n", again).where((F.col("_n") == 1) | (F.col("kind") == "recipe")).drop("_n")
     data.write.partitionBy("kind").option("compression", "zstd").parquet(f"{store.path}/data")
-    encoded = spark.read.schema(DATA).parquet(f"{store.path}/data").where(F.col("kind") == "recipe").select("doc_id", "n_tokens", "digests", "ends", F.sha2(F.array_join(F.transform("digests", F.hex), ""), 256).alias("root"))
-    sorted_recipes = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root").withColumn("shard", F.spark_partition_id())
-    sorted_recipes.write.option("compression", "zstd").parquet(f"{store.path}/sorted")
-    held = spark.read.schema(sorted_recipes.schema).parquet(f"{store.path}/sorted")
-    in_shard = Window.partitionBy("shard").orderBy("doc_id", "root")
-    shards = held.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    encoded = spark.read.schema(DATA).parquet(f"{store.path}/data").where(F.col("kind") == "recipe").select("doc_id", "n_tokens", "digests", "ends")
+    numbered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "digests").mapInArrow(_numbered, RECIPES)
+    numbered.write.option("compression", "zstd").parquet(f"{store.path}/recipes")
+    shards = spark.read.schema(RECIPES).parquet(f"{store.path}/recipes").groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    bases = shards.select("shard", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("docs").over(earlier), F.lit(0)).alias("docs_before"))
-    recipes = (
-        held.withColumn("seq", F.row_number().over(in_shard).cast("long"))
-        .withColumn("within", F.sum("n_tokens").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-        .join(F.broadcast(bases), "shard")
-        .select("shard", (F.col("docs_before") + F.col("seq") - 1).alias("seq"), "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "digests", "ends", "root")
-    )
-    recipes.write.option("compression", "zstd").parquet(f"{store.path}/recipes")
+    shards.select("shard", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("docs").over(earlier), F.lit(0)).alias("docs_before")).write.parquet(f"{store.path}/shards")
     _merkle(store.recipes(spark)).write.parquet(f"{store.path}/manifest")
     return store
 
@@ -206,7 +202,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every stored chunk hashed again: its digest, ids and CRC-32."""
     for batch in batches:
         out = []
-        for digest, width, payload in zip(*batch.to_pydict().values(), strict=True):
+        for digest, width, payload in (row for part in slices(batch, "ids") for row in zip(*part.to_pydict().values(), strict=True)):
             if hashlib.blake2b(payload, digest_size=16, salt=bytes([width])).digest() != digest:
                 raise ValueError(f"chunk {digest.hex()} is damaged")
             out.append((digest, len(payload) // width, zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes())))
@@ -217,36 +213,39 @@ _CHECKED = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("crc", pa.int
 
 
 def _placed(store: Store, spark: SparkSession) -> DataFrame:
-    """A row for each chunk of each recipe: shard, seq, doc_id, start, n_tokens, n_chunks, pos, digest, after (ids behind it)."""
+    """A row for each chunk of each recipe: seq, doc_id, start, n_tokens, n_chunks, pos, digest, size (its ids), after (ids behind it)."""
     recipes = store.recipes(spark).withColumn("n_chunks", F.size("digests"))
-    exploded = recipes.select("seq", "doc_id", "start", "n_tokens", "n_chunks", F.posexplode(F.arrays_zip("digests", "ends")).alias("pos", "c"))
-    return exploded.select("seq", "doc_id", "start", "n_tokens", "n_chunks", "pos", F.col("c.digests").alias("digest"), (F.col("n_tokens") - F.col("c.ends")).alias("after"))
+    sizes = F.transform("ends", lambda e, i: e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0))
+    exploded = recipes.select("seq", "doc_id", "start", "n_tokens", "n_chunks", F.posexplode(F.arrays_zip("digests", "ends", sizes.alias("sizes"))).alias("pos", "c"))
+    return exploded.select("seq", "doc_id", "start", "n_tokens", "n_chunks", "pos", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size"), (F.col("n_tokens") - F.col("c.ends")).alias("after"))
 
 
 def read_summaries(store: Store, spark: SparkSession) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
     Every chunk is read and hashed once; its CRC-32 is moved to its places in the documents, where the parts XOR to
-    the whole document's. Damaged, missing or wrongly counted chunks and recipes that the manifest does not match fail.
+    the whole document's. Damaged and missing chunks, chunks whose length their recipe doesn't give, and recipes whose
+    id, place, lengths or digests the manifest doesn't match, fail.
     """
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
         return pd.Series(crc_shift(crc.to_numpy(), n_bytes.to_numpy()).astype(np.int64))
 
-    recomputed = _merkle(store.recipes(spark).withColumn("root", F.sha2(F.array_join(F.transform("digests", F.hex), ""), 256)))
-    if recomputed.join(store.manifest(spark), ["level", "node", "hash"], "full_outer").count() != store.manifest(spark).count():
+    manifest = store.manifest(spark)
+    apart = _merkle(store.recipes(spark)).withColumn("side", F.lit(1)).unionByName(manifest.withColumn("side", F.lit(2)))
+    if apart.groupBy("level", "node", "hash").agg(F.sum("side").alias("sides")).where("sides <> 3").limit(1).count():
         raise ValueError("recipes and manifest disagree")
     chunks = store.chunks(spark).mapInArrow(_checked, "digest binary, n long, crc long")
     whole = (
         _placed(store, spark)
         .join(chunks, "digest", "left")
-        .select("seq", "doc_id", "start", "n_tokens", "n_chunks", "n", shifted(F.coalesce("crc", F.lit(0)), F.col("after") * 4).alias("part"))
+        .select("seq", "doc_id", "start", "n_tokens", "n_chunks", "n", "size", shifted(F.coalesce("crc", F.lit(0)), F.col("after") * 4).alias("part"))
         .groupBy("seq", "doc_id", "start", "n_tokens", "n_chunks")
-        .agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("found"), F.count("n").alias("found_chunks"))
+        .agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("found"), F.count_if(F.col("n") == F.col("size")).alias("found_chunks"))
     )
     sound = (F.col("found") == F.col("n_tokens")) & (F.col("found_chunks") == F.col("n_chunks"))
-    return whole.select("doc_id", "start", "n_tokens", F.when(sound, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a chunk is missing"))).alias("ids_crc32"))
+    return whole.select("doc_id", "start", "n_tokens", F.when(sound, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a chunk is missing or of another length"))).alias("ids_crc32"))
 
 
 def read_ids(store: Store, spark: SparkSession) -> DataFrame:
