@@ -1,8 +1,9 @@
 """Line dedup: drop lines that many documents repeat, keeping the line of the largest document.
 
-Native DataFrame operations only. Lines are exploded, reduced to a 128-bit hash of their key, and counted per
-hash with map-side combining, so a line found in a third of all documents costs one row a task. The drop list is
-joined on the hash (adaptive execution splits a hot hash) and comes back as positions, so texts move once.
+Native DataFrame operations only. Lines are exploded, reduced to a 128-bit hash of their key, and the distinct
+documents of each hash are counted. The drop list is joined on the hash and a salt of the document, and holds a hash
+once for each salt that has it, so a line found in a third of all documents is dealt over tasks. Positions to drop come
+back to the documents, so texts move once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import ascii_lower, columns
 
+#: Parts that the documents of a line are dealt into.
+SALTS = 32
 #: Characters 0x20 and 0x09-0x0D, stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -28,28 +31,29 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """Columns doc_id, n_lines, n_dropped, kept_text; one row for each input row.
 
     Keys of at least min_chars code points held by at least min_docs documents lose all lines except those of the
-    largest doc_id holding the key. Null or empty text: one empty line. Repeated rows of one document count once
-    more each toward min_docs; a null doc_id counts as the smallest. Further columns are ignored.
+    largest doc_id holding the key. Null or empty text: one empty line. Rows that repeat a doc_id are one document
+    when documents are counted, and all of them keep or lose a line; null doc_ids together are one document, the
+    smallest. An empty table gives no rows; further columns are ignored.
     """
     docs = columns(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.length(k) >= min_chars))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    holders = docs.select("doc_id", F.explode(keys).alias("key")).select("doc_id", salt, *_hash(F.col("key"))).distinct()
     common = (
-        docs.select("doc_id", F.explode(keys).alias("key"))
-        .select("doc_id", *_hash(F.col("key")))
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc"))
+        holders.groupBy("h1", "h2")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc"), F.collect_set("salt").alias("salts"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "last_doc")
+        .select("h1", "h2", "last_doc", F.explode("salts").alias("salt"))
     )
     lines = (
         docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("doc_id", "text_hash", "pos", *_hash(F.col("key")))
+        .select("doc_id", "text_hash", "pos", salt, *_hash(F.col("key")))
     )
     drops = (
-        lines.join(common, ["h1", "h2"])
+        lines.join(common, ["h1", "h2", "salt"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         .groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
         .agg(F.collect_set("pos").alias("drop_pos"))
