@@ -59,7 +59,7 @@ def mod97(code: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, what a text must contain for it to match at all, a check, and words that raise or lower the score.
+    """A pattern, what a text must contain for it to match at all, a check, and whole words that raise or lower the score.
 
     A pattern has no capturing group, or takes only a match's first code points, head of them, and captures the whole
     match looking ahead, so that one that fails its check hides none that starts within it.
@@ -84,11 +84,11 @@ def _iban() -> str:
 
 #: Longest run of digits and separators a match may hold is open, so lengths are checked after matching.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), "@", near=("mail", "contact"), against=("example",)),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"), ".", near=("ip", "host", "address", "server"), against=("version", "release")),
-    Kind("card", r"[0-9](?:[ -]?+[0-9])++", lambda m: F.length(_digits(m)).between(16, 19) & luhn(_digits(m)), near=("card", "visa", "pay", "credit"), against=("order", "invoice", "tracking")),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(8, 15), "+", near=("phone", "call", "tel", "mobile"), against=("fax machine", "total")),
-    Kind("iban", _iban(), lambda m: mod97(F.regexp_replace(m, " ", "")), base=False, near=("iban", "bank", "account", "konto", "compte", "cuenta"), against=("serial", "part number"), head=4),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), "@", near=("mail", "email", "e-mail", "mailto", "contact"), against=("example", "examples")),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"), ".", near=("ip", "host", "address", "server"), against=("version", "versions", "release", "releases")),
+    Kind("card", r"[0-9](?:[ -]?+[0-9])++", lambda m: F.length(_digits(m)).between(16, 19) & luhn(_digits(m)), near=("card", "cards", "visa", "pay", "payment", "credit"), against=("order", "invoice", "tracking")),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(8, 15), "+", near=("phone", "telephone", "call", "tel", "mobile"), against=("fax machine", "total")),
+    Kind("iban", _iban(), lambda m: mod97(F.regexp_replace(m, " ", "")), base=False, near=("iban", "bank", "account", "konto", "bankkonto", "compte", "cuenta"), against=("serial", "part number"), head=4),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), "-", base=False, near=("ssn", "social security"), against=("order", "part")),
 )
 
@@ -98,7 +98,7 @@ def _score(kind: Kind, around: Column) -> Column:
     score = F.lit(kind.start_score + (0.2 if kind.name in ("card", "iban") else 0.0))
     for words, step in ((kind.near, 0.2), (kind.against, -0.2)):
         if words:
-            score = score + F.when(around.rlike("|".join(words)), step).otherwise(0.0)
+            score = score + F.when(around.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])"), step).otherwise(0.0)
     return score
 
 
