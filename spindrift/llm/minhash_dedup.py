@@ -5,23 +5,30 @@ rate is its weight; arrivals fall on random registers, each register keeps the s
 document is done once no process can arrive before its slowest register. Two registers agree with the probability
 Jaccard similarity of the documents. Bands of registers give candidates; candidates are verified exactly.
 
-Equal shingle multisets are one representative from the start. Documents joined through shared bands form families;
-families are compared in pairs of blocks, so no group has to fit a task and no pairs are emitted, only links that
-join what a block pair has not joined yet. Links between families can't exist but where all bands differ.
+Equal shingle multisets are one content from the start, named by its digest; contents are the vertices of all links.
+Verification goes before connection, so unverified band hits never chain:
+
+1. Each content is verified against the least content of each of its buckets (its pivot). This takes a text a pair of
+   content and pivot, linear in a group of copies, and joins most of what belongs together.
+2. Only buckets that still hold several components go on. Members outside a bucket's largest component (strays) are
+   compared with all its members in pairs of blocks: first by signatures, then, for members of a pair that may be
+   similar, by texts. Pairs of one component are skipped, a pair counts in its first common band, and what leaves a
+   task are links that join components, never all pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import columns, materialise
-from spindrift.llm.components import components
+from spindrift.llm.common import columns, materialise, slices
+from spindrift.operators.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -157,126 +164,188 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above / x + below / y)).sum())
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sets = shingles(part["text"].to_pylist())
-            keys = band_keys(signatures(sets))
-            content = [hashlib.blake2b(h.tobytes() + c.astype("<u4").tobytes(), digest_size=16).digest() if len(h) else None for h, c in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(content, pa.binary()), lists], names=["doc_id", "content", "keys"])
-
+def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    if len(a[0]) == a[1].sum() and len(b[0]) == b[1].sum():  # no shingle twice: plain Jaccard
+        low, high = sorted((len(a[0]), len(b[0])))
+        if low < SIMILARITY * high - 1e-9:
+            return False
+        shared = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return shared >= (SIMILARITY - 1e-12) * (low + high - shared)
+    return probability_jaccard(a, b) >= SIMILARITY - 1e-12
 
-class _Joined:
-    """Union-find over the members of a block pair."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def _lists(keys: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-
-def _links_of(ids: list[int], blocks: list[int], sets: list[tuple[np.ndarray, np.ndarray]], winners: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join the members of a block pair; pairs within one block belong to that block's own group."""
-    n, cross = len(ids), len(set(blocks)) > 1
-    keys, block = band_keys(winners), np.array(blocks)
-    agree, meets = np.zeros((n, n), np.uint16), np.zeros((n, n), bool)
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each row's shingles (null without any) and its band keys."""
+    for part in (x for batch in batches for x in slices(batch, most=SLICE)):
+        sets = shingles(part["text"].to_pylist())
+        content = [hashlib.blake2b(h.tobytes() + c.astype("<u4").tobytes(), digest_size=16).digest() if len(h) else None for h, c in sets]
+        yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], pa.array(content, pa.binary()), _lists(band_keys(signatures(sets)))], names=["doc_id", "text_hash", "content", "keys"])
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents that meet others, with two bytes of each register's winner and the band keys."""
+    for part in (x for batch in batches for x in slices(batch, most=SLICE)):
+        winners = signatures(shingles(part["text"].to_pylist()))
+        codes = pa.array([row.tobytes() for row in (winners & np.uint64(0xFFFF)).astype("<u2")], pa.binary())
+        yield pa.RecordBatch.from_arrays([part["content"], part["text"], codes, _lists(band_keys(winners))], names=["content", "text", "codes", "keys"])
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (is_member, content, text), each pivot before its members: links of members to their pivot."""
+    pivot, name = None, None
+    for part in (x for batch in batches for x in slices(batch, most=SLICE)):
+        found = []
+        for member, content, of in zip(part["is_member"].to_pylist(), part["content"].to_pylist(), shingles(part["text"].to_pylist()), strict=True):
+            if not member:
+                pivot, name = of, content
+            elif _similar(pivot, of):
+                found.append((name, content))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], schema=_LINKS)
+
+
+GROUP = ["band", "key", "i", "j"]
+#: side 0: a stray; 1: a member of the bucket's largest component; 2: another member.
+_SURVIVORS = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("component", pa.binary()), ("content", pa.binary())])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[list[tuple]]:
+    """Runs of rows of one group, each row as a tuple in the order of the columns; rows come sorted by group."""
+    key, rows = None, []
+    for part in (x for batch in batches for x in slices(batch, sized, SLICE)):
+        for row in zip(*part.to_pydict().values(), strict=True):
+            if row[:4] != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = row[:4], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _candidates(rows: list[tuple], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strays, members, agreement) of the pairs of a group that may be similar, first meet in its band, and are of two components."""
+    band, side = rows[0][0], np.array([r[4] for r in rows])
+    names = {c: k for k, c in enumerate(sorted({r[5] for r in rows}))}
+    component, order = np.array([names[r[5]] for r in rows]), np.argsort(np.argsort(np.array([r[6] for r in rows], object), kind="stable"), kind="stable")
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+    agree = np.zeros((len(x), len(y)), np.uint16)
     for i in range(REGISTERS):
-        agree += winners[:, i][:, None] == winners[:, i][None, :]
-    for i in range(BANDS):
-        meets |= keys[:, i][:, None] == keys[:, i][None, :]
-    wanted = np.triu(meets & (agree >= (SIMILARITY - SLACK) * REGISTERS), 1)
-    if cross:
-        wanted &= block[:, None] != block[None, :]
-    left, right = np.nonzero(wanted)
-    order = np.argsort(-agree[left, right].astype(int), kind="stable")
-    joined, plain, members = _Joined(n), [bool((c == 1).all()) for _, c in sets], {}
-    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
-        a, b = joined.root(i), joined.root(j)
-        if a == b:
-            continue
-        if plain[i] and plain[j]:
-            for k in (i, j):
-                if k not in members:
-                    members[k] = frozenset(sets[k][0].tolist())
-            shared = len(members[i] & members[j])
-            similarity = shared / (len(members[i]) + len(members[j]) - shared)
-        else:
-            similarity = probability_jaccard(sets[i], sets[j])
-        if similarity >= SIMILARITY - 1e-12:
-            joined.up[a] = b
-            yield ids[i], ids[j]
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (family, first, second): each such group's links."""
-
-    def groups() -> Iterator[list[tuple]]:
-        key, rows = None, []
-        for batch in batches:
-            for family, first, second, rep, block, text in zip(*batch.to_pydict().values(), strict=True):
-                if (family, first, second) != key:
-                    if len(rows) > 1:
-                        yield rows
-                    key, rows = (family, first, second), []
-                rows.append((rep, block, text))
-        if len(rows) > 1:
-            yield rows
-
-    def solve(held: list[list[tuple]]) -> list[tuple[int, int]]:
-        rows = [r for g in held for r in g]
-        sets = shingles([r[2] for r in rows])
-        winners, at, found = signatures(sets), 0, []
-        for g in held:
-            stop = at + len(g)
-            found += _links_of([r[0] for r in g], [r[1] for r in g], sets[at:stop], winners[at:stop])
-            at = stop
-        return found
-
-    def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    held, n = [], 0
-    for g in groups():
-        held.append(g)
-        n += len(g)
-        if n >= BLOCK:
-            yield pack(solve(held))
-            held, n = [], 0
-    if held:
-        yield pack(solve(held))
+        agree += codes[x, i][:, None] == codes[y, i][None, :]
+    wanted = (agree >= (SIMILARITY - SLACK) * REGISTERS) & (component[x][:, None] != component[y][None, :])
+    # Two strays meet twice, once as stray and member and once the other way round.
+    wanted &= (side[y] == 1)[None, :] | (order[x][:, None] < order[y][None, :])
+    for t in range(band):
+        wanted &= keys[x, t][:, None] != keys[y, t][None, :]
+    a, b = np.nonzero(wanted)
+    return x[a], y[b], agree[a, b]
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, side, component, content, codes, keys): those that are in a candidate pair, without codes and keys."""
+    for rows in _groups(batches, "codes"):
+        x, y, _ = _candidates(rows, np.stack([np.frombuffer(r[7], "<u2") for r in rows]), np.array([r[8] for r in rows]))
+        stay = [rows[k][:7] for k in np.unique(np.concatenate([x, y])).tolist()]
+        if stay:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stay, strict=True), _SURVIVORS, strict=True)], schema=_SURVIVORS)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, side, component, content, text): links that join components of a group."""
+    for rows in _groups(batches, "text"):
+        sets = shingles([r[7] for r in rows])
+        winners = signatures(sets)
+        x, y, agree = _candidates(rows, winners & np.uint64(0xFFFF), band_keys(winners))
+        up, found = {r[5]: r[5] for r in rows}, []
+
+        def root(c: bytes, up: dict = up) -> bytes:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        order = np.argsort(-agree.astype(int), kind="stable")
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            a, b = root(rows[i][5]), root(rows[j][5])
+            if a != b and _similar(sets[i], sets[j]):
+                up[a] = b
+                found.append((rows[i][6], rows[j][6]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=_LINKS)
+
+
+def _dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+
+
+def _links(met: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Verified links (a, b) between contents from their buckets (band, key, content, pivot, n)."""
+    # Members of a pivot whose buckets differ in size lie in different blocks; each block has the pivot's text.
+    pairs = met.where("content <> pivot").groupBy("pivot", "content").agg(F.ceil(F.max("n") / block).cast("int").alias("blocks"))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+    heads = pairs.select("pivot", "blocks", "block").distinct().withColumn("content", F.col("pivot"))
+    rows = pairs.withColumn("is_member", F.lit(True)).unionByName(heads.withColumn("is_member", F.lit(False)))
+    rows = rows.join(texts.select("content", "text"), "content").select("pivot", "blocks", "block", "is_member", "content", "text")
+    first = materialise(_dealt(rows, ["pivot", "blocks", "block"], "is_member").mapInArrow(_against_pivots, "a binary, b binary"), "pivot-links")
+
+    joined = components(first).withColumnRenamed("vertex", "content")
+    labelled = materialise(met.select("band", "key", "content").join(joined, "content", "left").withColumn("component", F.coalesce("component", "content")), "labelled")
+    shares = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = shares.groupBy("band", "key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", "n").alias("largest")).where("kinds > 1")
+    mixed = mixed.select("band", "key", "largest", F.ceil(F.col("total") / block).cast("int").alias("rows"), F.ceil((F.col("total") - F.col("most")) / block).cast("int").alias("strays"))
+    members = labelled.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("largest"))
+
+    def dealt(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("content"), F.col(blocks)).cast("int")
+
+    def each(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    strays = members.where("stray").select("band", "key", dealt("strays").alias("i"), each("rows").alias("j"), F.lit(0).alias("side"), "component", "content")
+    others = members.select("band", "key", each("strays").alias("i"), dealt("rows").alias("j"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), "component", "content")
+    rows = strays.unionByName(others).join(texts.select("content", "codes", "keys"), "content").select(*GROUP, "side", "component", "content", "codes", "keys")
+    survivors = materialise(_dealt(rows, GROUP).mapInArrow(_screen, "band int, key long, i int, j int, side int, component binary, content binary"), "survivors")
+    rows = survivors.join(texts.select("content", "text"), "content").select(*GROUP, "side", "component", "content", "text")
+    return first.unionByName(_dealt(rows, GROUP).mapInArrow(_across, "a binary, b binary"))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), kept; one row a row.
+    """doc_id, class_id (least doc_id of its class), kept, text_hash; one row a row.
 
     Two documents are linked from a probability Jaccard similarity of 0.8 on, classes are what links connect. Null,
-    empty and blank texts have no shingles and stand alone. Rows that repeat a doc_id share its fate if their texts
-    are equal. A null doc_id joins the class of an equal text or has no class and is kept. Further columns are ignored.
+    empty and blank texts have no shingles and stand alone. Of a class the rows of one text and doc_id stay, those of
+    the least doc_id, and of its texts the least by hash (text_hash tells rows of one doc_id apart). Null doc_ids
+    come last; a class of null doc_ids alone has a null class_id. An empty table gives no rows, further columns are
+    ignored.
     """
-    docs = columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, content binary, keys array<long>"), "signatures")
-    reps = signed.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    reps = materialise(reps.where(F.col("rep").isNotNull()), "representatives")
-    placed = reps.select("rep", F.explode("keys").alias("key"))
-    pivots = placed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
-    families = materialise(components(placed.join(pivots, "key").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))), "families")
-    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = families.join(sizes, "component").select(F.col("component").alias("family"), F.col("vertex").alias("rep"), "blocks", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("block"))
+    docs = columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    signed = materialise(docs.mapInArrow(_sign, "doc_id long, text_hash long, content binary, keys array<long>"), "signatures")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    reps = materialise(signed.where(F.col("content").isNotNull()).groupBy("content").agg(F.min(name).alias("best"), F.first("keys").alias("keys")), "contents")
+    placed = reps.select("content", F.posexplode("keys").alias("band", "key"))
+    crowded = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("pivot")).where("n > 1")
+    met = materialise(placed.join(crowded, ["band", "key"]).select("band", "key", "content", "pivot", "n"), "buckets")
+
+    wanted = met.select("content").distinct().join(reps.select("content", "best"), "content")
+    wanted = wanted.select("content", F.coalesce("best.doc_id", F.lit(0)).alias("id"), F.col("best.no_id").alias("no_id"), F.col("best.text_hash").alias("text_hash"))
+    sides = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "text").where(F.col("text").isNotNull())
     # Merged at every size: a broadcast that only small inputs get would hide what the join costs.
-    texts = docs.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).where(F.col("text").isNotNull())
-    pairs = texts.select("family", "rep", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("family", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "block", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = pairs.repartition(parts, "family", "first", "second").sortWithinPartitions("family", "first", "second").mapInArrow(_verify, "a long, b long")
-    classes = components(links).withColumnRenamed("component", "class")
-    of_content = reps.select("content", "rep").join(classes, F.col("rep") == F.col("vertex"), "left").select("content", F.coalesce("class", "rep").alias("class_id"))
-    found = signed.select("doc_id", "content").join(of_content, "content", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    held = sides.join(wanted.hint("merge"), ["id", "no_id", "text_hash"]).select("content", "text")
+    once = F.row_number().over(Window.partitionBy("content").orderBy(F.lit(0)))
+    texts = materialise(held.withColumn("_n", once).where("_n = 1").select("content", "text").mapInArrow(_coded, "content binary, text string, codes binary, keys array<long>"), "texts")
+
+    linked = components(_links(met, texts, block)).join(reps.select(F.col("content").alias("vertex"), "best"), "vertex")
+    linked = materialise(linked.select(F.col("vertex").alias("content"), "component", "best"), "linked")
+    firsts = linked.groupBy("component").agg(F.min("best").alias("class"))
+    classes = linked.select("content", "component").join(firsts, "component").select("content", "class")
+    of_content = reps.select("content", "best").join(classes, "content", "left").select("content", F.coalesce("class", "best").alias("class"))
+    found = signed.select("doc_id", "text_hash", "content").join(of_content, "content", "left")
+    stays = F.col("content").isNull() | (F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("text_hash") == F.col("class.text_hash")))
+    return found.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class.doc_id")).alias("class_id"), stays.alias("kept"), "text_hash")
