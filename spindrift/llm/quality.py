@@ -13,17 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import columns
+from spindrift.llm.common import columns, slices
 
 #: Embedding size, filter width and step in bytes, filters, hidden units.
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 6, 8, 2, 32, 24
 #: Filter positions of half a chunk; a chunk is two neighbouring halves (512 bytes), so chunks overlap by half.
 HALF = 128
-#: Labelled rows used for fitting, of each label, and the longest text among them in bytes (bounds the driver's memory).
-SAMPLE_PER_LABEL, SAMPLE_TEXT_BYTES = 1500, 20_000
+#: Labelled rows used for fitting, of each label, and bytes of their texts (bounds the driver's memory).
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 1500, 24 << 20
 EPOCHS, LEAST_STEPS, BATCH, RATE = 10, 1000, 16, 0.005
 #: Documents that score below are poor.
 LEAST_SCORE = 0.3
@@ -164,41 +164,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, max_bytes: int = SAMPLE_TEXT_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model fitted on up to per_label rows of each label, taken in order of a hash of the id, none held out.
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """A model fitted on up to per_label rows of each label and most_bytes of their texts, taken in order of a hash of the id, none held out.
 
-    Only texts of up to max_bytes are sampled. Null ids, texts and labels are left out; without both labels every
-    score is the same.
+    Long texts are sampled like others; one that alone would pass most_bytes is left out. Null ids, texts and labels
+    are left out, a row that repeats an id, label and text counts once; without both labels every score is the same.
     """
-    wanted = columns(labels, doc_id=doc_id, label=label).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    wanted = columns(labels, doc_id=doc_id, label=label).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     counts = {r.label: r["count"] for r in wanted.groupBy("label").count().collect()}
     odds = counts.get(0, 0) / counts[1] if counts.get(0) and counts.get(1) else 1.0
     some = None
     for value in (0, 1):
-        # Half as many again, for ids without a text of that length.
-        part = wanted.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label * 3 // 2)
+        # Half as many again, for ids without a text.
+        part = wanted.where(F.col("label") == value).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(per_label * 3 // 2)
         some = part if some is None else some.unionByName(part)
-    texts = columns(docs, doc_id=doc_id, text=text).where(F.octet_length("text") <= max_bytes)
-    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").collect()
-    rows = sorted({(r.doc_id, r.label, r.text) for r in rows})
-    kept = [r for value in (0, 1) for r in [x for x in rows if x[1] == value][:per_label]]
-    return fit([r[2].encode() for r in kept], [r[1] for r in kept], odds)
+    texts = columns(docs, doc_id=doc_id, text=text).where(F.octet_length("text") <= most_bytes)
+    found = texts.join(F.broadcast(some), "doc_id").distinct()
+    # The sample itself is small, so its running totals may pass through one task.
+    order = Window.partitionBy("label").orderBy("at", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    taken = found.withColumn("n", F.count(F.lit(1)).over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where((F.col("n") <= per_label) & (F.col("bytes") <= most_bytes // 2))
+    rows = sorted(taken.select("label", "at", "doc_id", "text").collect())
+    return fit([r.text.encode() for r in rows], [r.label for r in rows], odds)
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [score_text((t or "").encode(), model) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+def score_column(text: Column, model: Model) -> Column:
+    """The score of a text: only the text goes to Python and only the score comes back."""
 
-    return run
+    @F.arrow_udf("double")
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            done = [score_text((t or "").encode(), model) for piece in slices(pa.RecordBatch.from_arrays([part], names=["text"])) for t in piece["text"].to_pylist()]
+            yield pa.array(done, pa.float64())
+
+    return scores(text)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs and score (0 to 1, higher: label 1 likelier); a column of that name is replaced.
 
-    Whole texts are read; null counts as empty, and empty texts get the model's score of an empty chunk.
+    Whole texts are read; null counts as empty, and empty texts get the model's score of an empty chunk. Repeated rows
+    are scored each, an empty table gives no rows.
     """
-    docs = docs.drop("score").withColumnRenamed(text, "text") if text != "text" else docs.drop("score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(model), f"{schema}, score double")
+    return docs.withColumn("score", score_column(F.col(f"`{text}`"), model))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import exact_dedup, line_dedup, minhash_dedup, pii, suffix_dedup
-from spindrift.llm.components import components
+from spindrift.operators.components import components
 
 SCHEMA = "doc_id long, text string, n_lines int, kept string, spans string, shard int, key string"
 EDGE = [(None, "a null id", 1, "x", "y", 2, "z"), (1, None, 1, "x", "y", 2, "z"), (2, "", None, None, None, None, None), (3, "Same Text", 1, "x", "y", 2, "z"), (4, "same text", 1, "x", "y", 2, "z"), (4, "same text", 1, "x", "y", 2, "z"), (5, "long " * 30000, 1, "x", "y", 2, "z")]
@@ -47,6 +47,14 @@ def test_line_dedup(spark):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.drop_repeated_lines(docs(spark, rows)).collect()} == want
 
 
+def test_lines_of_repeated_rows_count_once(spark):
+    line = "a line of more than twenty characters"
+    two = [(1, line), (1, line), (2, line)]
+    assert {(r.doc_id, r.n_dropped) for r in line_dedup.drop_repeated_lines(docs(spark, two)).collect()} == {(1, 0), (2, 0)}
+    three = [*two, (3, f"{line}\nown"), (None, line), (None, line)]
+    assert {(r.doc_id, r.n_dropped, r.kept_text) for r in line_dedup.drop_repeated_lines(docs(spark, three)).collect()} == {(1, 1, ""), (2, 1, ""), (None, 1, ""), (3, 0, f"{line}\nown")}
+
+
 def test_line_dedup_edges(edge, empty):
     got = line_dedup.drop_repeated_lines(edge).collect()
     assert len(got) == len(EDGE) and {(r.n_lines, r.n_dropped) for r in got} == {(1, 0)}
@@ -105,6 +113,9 @@ def test_personal_data(spark, edge, empty):
     more = ["iban DE89 3704 0044 0532 0130 00 here", "DE88 3704 0044 0532 0130 00", "my ssn 123-45-6789", "order 123-45-6789"]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_personal_data(docs(spark, list(enumerate(more)))).collect()}
     assert got == {0: [("iban", 5, 32)], 1: [], 2: [("ssn", 7, 18)], 3: []}
+    near = ["social security of the departing clerk: 123-45-6789", "part 123-45-6789 ssn", "a ship 123-45-6789", "SSN: 123-45-6789"]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_personal_data(docs(spark, list(enumerate(near)))).collect()}
+    assert got == {0: ["ssn"], 1: [], 2: [], 3: ["ssn"]}
     text = F.col("text")
     red = docs(spark, [(0, "to a@b.cc, a@b.cc or 1.2.3.4."), (1, "none")]).select("doc_id", pii.redact(text, pii.span_column(text)).alias("x"))
     assert {r.doc_id: r.x for r in red.collect()} == {0: "to [EMAIL], [EMAIL] or [IP].", 1: "none"}
@@ -200,6 +211,38 @@ def test_near_classes(spark, block):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_near_classes_of_shared_ids_and_chains(spark):
+    """Contents that share an id stay apart, and classes are what verified links connect, band hits alone don't."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 9999)}" for _ in range(200)]
+    rows = [(1, " ".join(base)), (1, "some other words that share this id"), (2, " ".join([*base[:-3], "x", "y", "z"])), (9, "some other words that share this id")]
+    # A family around 0.7: many band hits, few links.
+    for i in range(60):
+        copy = list(base)
+        for k in range(0, 200, 25):
+            copy[k + rnd.randint(0, 24)] = f"v{i}-{k}"
+        rows.append((100 + i, " ".join(copy)))
+    sets = minhash_dedup.shingles([t for _, t in rows])
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if minhash_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-12:
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    for block in (5, 256):
+        got = minhash_dedup.near_classes(docs(spark, rows), block=block).withColumn("h", F.col("text_hash")).collect()
+        hashes = {r[0]: h for r, h in zip(rows, [x[0] for x in spark.createDataFrame([(t,) for _, t in rows], "t string").select(F.xxhash64("t")).collect()])}
+        assert len(got) == len(rows) and hashes
+        want = sorted((r[0], rows[root(i)][0]) for i, r in enumerate(rows))
+        assert sorted((r.doc_id, r.class_id) for r in got) == want
+        assert sum(r.kept for r in got) == len({root(i) for i in range(len(rows))})
+
+
 def test_near_classes_edges(edge, empty):
     got = minhash_dedup.near_classes(edge).collect()
     assert len(got) == len(EDGE) and {r.class_id for r in got if r.doc_id in (3, 4)} == {3}
