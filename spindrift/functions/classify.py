@@ -29,7 +29,7 @@ def roles(title: Column, years: Column | None = None) -> Column:
     """Categories of a title in order of priority; early careers join New Grad unless a senior word stands beside."""
     t = F.lower(F.coalesce(title, F.lit("")))
     names = {c: f"c{i}" for i, c in enumerate(V.CATEGORY_ORDER)}
-    hits = F.struct(*[_holds(t, V.ROLE_TERMS[c].split("|")).alias(n) for c, n in names.items()])
+    hits = F.struct(*[_holds(t, V.ROLE_TERMS[c]).alias(n) for c, n in names.items()])
 
     def listed(hit: Column) -> Column:
         any_role = F.lit(False)
@@ -80,9 +80,9 @@ def is_us_strict(location: Column) -> Column:
     return F.when(place == "", False).when(F.lower(place) == "remote", True).when(foreign, False).otherwise(place.rlike(V.US_NAME) | place.rlike(V.US_CODE))
 
 
-def _blocked(url: Column) -> Column:
+def _blocked(url: Column, tokens: tuple[str, ...] = V.BLOCKED_URL_TOKENS) -> Column:
     tail = F.lower(F.concat(urls.path(url), F.lit("?"), urls.query(url)))
-    return tail.rlike(_any_word(V.BLOCKED_URL_TOKENS))
+    return tail.rlike(_any_word(tokens))
 
 
 def _aggregator(url: Column) -> Column:
@@ -135,8 +135,9 @@ def first_failure(title: Column, company: Column, location: Column, url: Column,
         (company.rlike(V.BAD_COMPANY), "bad_company"),
         (title.rlike(V.GENERIC_TITLE), "generic_title"),
         (F.lit(us_only) & ~is_us_strict(location), "non_us_location"),
-        (_blocked(url), "non_job_url"),
-        (source.isin("indeed", "careerbuilder", "ziprecruiter") | _aggregator(url), "blocked_aggregator"),
+        (_blocked(url, V.PUSH_BLOCKED_URL_TOKENS), "non_job_url"),
+        (source.isin("indeed", "careerbuilder", "ziprecruiter"), "blocked_aggregator"),
+        (_aggregator(url), "blocked_aggregator"),
         (~source.isin(*V.DIRECT_SOURCES) & (F.lower(company) == "unknown"), "untrusted_unknown_company"),
     ]
     return F.coalesce(*[F.when(c, F.lit(name)) for c, name in checks])

@@ -28,6 +28,13 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _revenue(around: Column) -> Column:
+    near = F.lit(False)
+    for p in V.REVENUE:
+        near = near | around.rlike(f"(?i){p}")
+    return near
+
+
 def salary(text: Column) -> Column:
     """(salary_min, salary_max, currency) of the first pattern whose first match is a plausible salary, or null.
 
@@ -43,13 +50,13 @@ def salary(text: Column) -> Column:
         low, high = (_amount(F.regexp_extract(found, pattern, i)) for i in (1, 2))
         low, high = (F.when(in_thousands & (x < 1000), x * 1000).otherwise(x) for x in (low, high))
         sign = F.when(found.contains("$"), "USD").when(found.contains("€"), "EUR").when(found.contains("£"), "GBP").otherwise("USD")
-        sound = (low >= V.SALARY_LIMITS[0]) & (high <= V.SALARY_LIMITS[1]) & (low <= high) & ~around.rlike(V.REVENUE)
+        sound = (low >= V.SALARY_LIMITS[0]) & (high <= V.SALARY_LIMITS[1]) & (low <= high) & ~_revenue(around)
         return F.when(found.isNotNull() & sound, F.struct(F.floor(low).cast("double").alias("salary_min"), F.floor(high).cast("double").alias("salary_max"), sign.alias("currency"))).otherwise(none)
 
     def attempt(plain: Column, pattern: str) -> Column:
         return bound(F.regexp_substr(plain, F.lit(pattern)), lambda found: judge(plain, found, pattern))
 
-    return F.when(text.rlike(r"[\$£€¥]|&#|&[a-z]+;"), bound(_plain(text), lambda plain: F.coalesce(*[attempt(plain, p) for p in V.SALARIES])))
+    return F.when(text.rlike(r"[\$£€¥]|&#|&[a-z]+;"), bound(_plain(text), lambda plain: F.coalesce(*[attempt(plain, f"(?i){p}") for p in V.SALARIES])))
 
 
 def salary_range(text: Column) -> Column:
@@ -69,7 +76,7 @@ def experience_years(text: Column) -> Column:
     """Least years of experience asked for, by the first pattern that matches, or null."""
 
     def years(plain: Column) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(plain, p, 1), F.lit("")).try_cast("int") for p in V.EXPERIENCE])
+        return F.coalesce(*[F.nullif(F.regexp_extract(plain, f"(?iU){p}", 1), F.lit("")).try_cast("int") for p in V.EXPERIENCE])
 
     return F.when(F.lower(text).contains("year"), bound(_plain(text), years))
 
@@ -112,9 +119,9 @@ def metro(location: Column) -> Column:
     return F.when(place == "", "unknown").otherwise(F.coalesce(*[F.when(place.contains(a), F.lit(m)) for a, m in V.METROS.items()], F.lit("other")))
 
 
-def _bucket(title: Column, table: dict[str, str], other: str) -> Column:
+def _bucket(title: Column, table: dict[str, tuple[str, ...]], other: str) -> Column:
     t = F.lower(F.coalesce(title, F.lit("")))
-    return F.coalesce(*[F.when(t.rlike("|".join(re.escape(w) for w in words.split("|"))), F.lit(name)) for name, words in table.items()], F.lit(other))
+    return F.coalesce(*[F.when(t.rlike("|".join(map(re.escape, words))), F.lit(name)) for name, words in table.items()], F.lit(other))
 
 
 def salary_role(title: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions.extract import bound
+
 
 def faceted(df: DataFrame, *, equals: dict[str, str] | None = None, contains: dict[str, str] | None = None, any_contains: tuple[list[str], str] | None = None, has_item: dict[str, str] | None = None, since: tuple[str, Column] | None = None, active: str | None = None, state: tuple[str, str] | None = None) -> DataFrame:
     """Filters that are given, all of them: equality and substrings without regard to case, items of arrays, recency, flags.
@@ -53,6 +55,8 @@ def conform(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
 
 #: Weights of fields from most to least.
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
+#: Endings that words lose before they are compared, in order, and what takes their place.
+ENDINGS = ((r"\b([a-z]{2,})ies\b", "y"), (r"\b([a-z]{2,}(?:ss|sh|ch|x))es\b", ""), (r"\b([a-z]{2,}[a-rt-z])s\b", ""), (r"\b([a-z]{3,})ing\b", ""), (r"\b([a-z]{3,})ed\b", ""))
 
 
 def parse_search(text: str) -> list[list[tuple[bool, str]]]:
@@ -64,33 +68,58 @@ def parse_search(text: str) -> list[list[tuple[bool, str]]]:
             out.append([])
         elif term:
             out[-1].append((not minus, term))
-    return [group for group in out if any(wanted for wanted, _ in group)]
+    return [group for group in out if group]
 
 
-def text_rank(fields: list[Column], query: str) -> tuple[Column, Column]:
-    """(matches, rank): whether the fields together meet the query, and the weights of the fields its wanted words are in, summed.
+def stem_text(text: str) -> str:
+    """The words of a query as they are compared."""
+    text = re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+    for ending, instead in ENDINGS:
+        text = re.sub(ending, rf"\g<1>{instead}", text)
+    return text
 
-    Words match whole words; the rank orders like weighted full-text search but isn't its number.
-    """
-    words = [F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(f, F.lit(""))), r"[^a-z0-9]+", " ")), F.lit(" ")) for f in fields]
 
-    def in_field(w: Column, term: str) -> Column:
-        return w.contains(" " + re.sub(r"[^a-z0-9]+", " ", term).strip() + " ")
+def stemmed(field: Column) -> Column:
+    """A text's words as they are compared, one space before and behind each."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(field, F.lit(""))), r"[^a-z0-9]+", " "))
+    for ending, instead in ENDINGS:
+        words = F.regexp_replace(words, ending, f"$1{instead}")
+    return F.concat(F.lit(" "), words, F.lit(" "))
 
-    def anywhere(term: str) -> Column:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | in_field(w, term)
-        return hit
 
-    matches, rank = F.lit(False), F.lit(0.0)
+def text_rank(fields: list[Column], query: str) -> Column:
+    """(matches, rank): whether the fields together meet the query, and the weights of the fields its wanted words are in, summed.
+
+    Words are compared without their endings, as whole words. Each field is cleaned once for all terms. A group of
+    exclusions alone matches every row that holds none of them. The rank orders like weighted full-text search but
+    isn't its number.
+    """
     groups = parse_search(query)
-    for group in groups:
-        all_of = F.lit(True)
-        for wanted, term in group:
-            all_of = all_of & (anywhere(term) if wanted else ~anywhere(term))
-        matches = matches | all_of
-    for term in sorted({t for g in groups for wanted, t in g if wanted}):
-        for w, weight in zip(words, WEIGHTS, strict=False):
-            rank = rank + F.when(in_field(w, term), weight).otherwise(0.0)
-    return matches, rank
+
+    def judged(words: Column) -> Column:
+        places = [F.get(words, i) for i in range(len(fields))]
+
+        def anywhere(term: str) -> Column:
+            hit = F.lit(False)
+            for w in places:
+                hit = hit | w.contains(f" {stem_text(term)} ")
+            return hit
+
+        matches, rank = F.lit(False), F.lit(0.0)
+        for group in groups:
+            all_of = F.lit(True)
+            for wanted, term in group:
+                all_of = all_of & (anywhere(term) if wanted else ~anywhere(term))
+            matches = matches | all_of
+        for term in sorted({t for g in groups for wanted, t in g if wanted}):
+            for w, weight in zip(places, WEIGHTS, strict=False):
+                rank = rank + F.when(w.contains(f" {stem_text(term)} "), weight).otherwise(0.0)
+        return F.struct(matches.alias("matches"), rank.alias("rank"))
+
+    return bound(F.array(*map(stemmed, fields)), judged)
+
+
+def ranked(df: DataFrame, fields: list[Column], query: str) -> DataFrame:
+    """The rows that meet the query, with their rank; judged in one pass, a row without a match has no rank."""
+    judged = text_rank(fields, query)
+    return df.withColumn("rank", bound(judged, lambda j: F.when(j["matches"], j["rank"]))).where(F.col("rank").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import classify, extract, text, urls
+from spindrift.functions.vocabulary import STOP_WORDS
 from spindrift.operators import rollups, schedule, search, similar, tables
 from spindrift.operators.components import components
 from spindrift.scratch import materialise, scratch_path
@@ -335,14 +336,18 @@ def html_links(read):
     return read("pages").select("page_id", links.alias("l")).select("page_id", F.size("l").cast("long").alias("n_links"), F.md5(F.array_join(F.array_sort("l"), " ")).alias("links_md5"))
 
 
+#: Every reference that the given pages hold, the ampersand last.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&copy;", "©"), ("&amp;", "&"))
+
+
 def _sql_unescape(column: str) -> str:
-    for entity, mark in text.ENTITIES:
+    for entity, mark in _REFERENCES:
         column = f"replace({column}, '{entity}', '{mark.replace(chr(39), chr(39) * 2)}')"
     return column
 
 
 @query(f"""
-SELECT page_id, md5(trim(regexp_replace(regexp_replace({_sql_unescape("html")}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages
+SELECT page_id, md5(trim(regexp_replace(regexp_replace({_sql_unescape("html")}, '<[^>]+>', ' ', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g'))) AS text_md5 FROM pages
 """)
 def html_text(read):
     return read("pages").select("page_id", F.md5(text.html_to_text(F.col("html"))).alias("text_md5"))
@@ -392,19 +397,31 @@ def match_tiers(read):
     return similar.top_similar(vectors, "vec_id", "embedding", probe, 25, least=0.3)
 
 
-_WORDS = "' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' '"
-_SOURCE = "' ' || trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) || ' '"
+def _sql_words(column: str) -> str:
+    column = f"trim(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g'))"
+    for ending, instead in ((r"\b([a-z]{2,})ies\b", r"\1y"), (r"\b([a-z]{2,}(?:ss|sh|ch|x))es\b", r"\1"), (r"\b([a-z]{2,}[a-rt-z])s\b", r"\1"), (r"\b([a-z]{3,})ing\b", r"\1"), (r"\b([a-z]{3,})ed\b", r"\1")):
+        column = f"regexp_replace({column}, '{ending}', '{instead}', 'g')"
+    return f"' ' || {column} || ' '"
+
+
+_FOUND = f"WITH d AS (SELECT doc_id, {_sql_words('text')} AS w, {_sql_words('source')} AS s FROM documents)"
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w, {_SOURCE} AS s FROM documents)
+{_FOUND}
 SELECT doc_id, round((0::DOUBLE + CASE WHEN contains(s, ' src1 ') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(w, ' src1 ') THEN 0.4 ELSE 0 END) + (CASE WHEN contains(s, ' the and ') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(w, ' the and ') THEN 0.4 ELSE 0 END)
 + (CASE WHEN contains(s, ' is ') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(w, ' is ') THEN 0.4 ELSE 0 END), 4) AS rank
 FROM d WHERE ((contains(w, ' is ') OR contains(s, ' is ')) AND (contains(w, ' the and ') OR contains(s, ' the and ')) AND NOT (contains(w, ' license ') OR contains(s, ' license '))) OR contains(w, ' src1 ') OR contains(s, ' src1 ')
 """)
 def text_search_rank(read):
-    matches, rank = search.text_rank([F.col("source"), F.col("text")], 'is "the and" -license or src1')
-    return read("documents").where(matches).select("doc_id", F.round(rank, 4).alias("rank"))
+    found = search.ranked(read("documents").select("doc_id", "source", "text"), [F.col("source"), F.col("text")], 'is "the and" -license or src1')
+    return found.select("doc_id", F.round("rank", 4).alias("rank"))
+
+
+@query(f"{_FOUND} SELECT doc_id, 0.0::DOUBLE AS rank FROM d WHERE NOT (contains(w, ' license ') OR contains(s, ' license ')) AND NOT (contains(w, ' the ') OR contains(s, ' the '))")
+def text_search_without(read):
+    """A search of exclusions alone, one of them in another form of the word."""
+    return search.ranked(read("documents").select("doc_id", "source", "text"), [F.col("source"), F.col("text")], "-licenses -the").select("doc_id", "rank")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -437,7 +454,19 @@ def posting_keys(read):
     return d.select("doc_id", text.content_key(F.col("source"), F.col("lang"), F.col("text")).alias("content_key"), text.natural_key(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.lit(None).cast("string")).alias("natural_key"))
 
 
-@query()
+_SETS = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS block, source, length(text) AS size, list_sort(list_filter(list_distinct(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+')), lambda x: x <> '' AND NOT list_contains(STOPS, x))) AS tokens FROM documents WHERE source IS NOT NULL),
+m AS (SELECT * FROM d WHERE len(tokens) > 0),
+sets AS (SELECT min(doc_id) AS id, block, tokens, CASE WHEN min(source) = max(source) THEN min(source) END AS alone FROM m GROUP BY block, tokens),
+pairs AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, len(list_intersect(a.tokens, b.tokens)) AS n, len(a.tokens) + len(b.tokens) AS t FROM sets a JOIN sets b ON a.block = b.block AND a.id < b.id AND coalesce(a.alone <> b.alone, true)
+AND least(len(a.tokens), len(b.tokens)) >= 0.6 * greatest(len(a.tokens), len(b.tokens))) WHERE n / (t - n)::DOUBLE >= 0.6)
+""".replace("STOPS", "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]")
+
+
+@query(_SETS + """
+SELECT a, b, round(n / (t - n)::DOUBLE, 6) AS similarity, false AS copy FROM pairs
+UNION ALL SELECT s.id, m.doc_id, 1.0, true FROM sets s JOIN m USING (block, tokens) WHERE m.doc_id <> s.id AND (s.alone IS NULL OR s.id IN (SELECT a FROM pairs UNION SELECT b FROM pairs))
+""")
 def near_duplicate_pairs(read):
     """Pairs of one language and different sources with a token Jaccard similarity of 0.6 or more, by representatives.
 
@@ -463,7 +492,13 @@ def _token_sets(read) -> tuple[DataFrame, DataFrame]:
     return members, materialise(sets, "token-sets")
 
 
-@query()
+@query(_SETS.replace("WITH d", "WITH RECURSIVE d", 1) + """,
+both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM sets WHERE alone IS NULL),
+reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+c AS (SELECT id, min(other) AS component FROM reach GROUP BY 1),
+w AS (SELECT m.doc_id, c.component, m.size FROM m JOIN sets s USING (block, tokens) JOIN c ON c.id = s.id)
+SELECT doc_id, component, row_number() OVER (PARTITION BY component ORDER BY size DESC, doc_id) = 1 AS survives FROM w
+""")
 def cluster_survivors(read):
     """Clusters of near-duplicates, a row for each document in one, and which of each survives: the longest text, then the least id."""
     members, sets = _token_sets(read)

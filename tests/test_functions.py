@@ -104,3 +104,14 @@ def test_priorities(spark):
     rows = [("P0", 0, 0, 0, True), ("P2", 0, 5, 1, False), ("P3", 6, 0, 0, False), ("P1", 5, 0, 0, False)]
     got = values(spark, rows, "t string, f int, j int, r int, x boolean", classify.next_due_seconds(*map(F.col, "tfjrx")))
     assert got == [1800, 3600, 604800, 10800]
+
+
+def test_references_resolve_as_the_standard_library_does(spark):
+    import html
+    import random
+
+    rnd = random.Random(7)
+    made = ["Caf&eacute; &#x27;a&#x27; &#8211; &copy;", "&amp;lt;", "&copy2023 &ampx &notit; &notin;", "&#0;&#13;&#128;&#x9f;&#xD800;&#1114112;&#99999999999999;&#x1F600;&#xfffe;&#11;&#x;&#;&;& &", "", None, "no reference", "&CounterClockwiseContourIntegral;&NotEqualTilde;", "&unknown; &#65 b &#x41g"]
+    made += ["".join(rnd.choice(["&", "#", "x", ";", "amp", "lt", "copy", "not", "in", "65", "1F", " ", "é", "eacute;"]) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    got = values(spark, [(t,) for t in made], "t string", text.unescape(F.col("t")))
+    assert got == [None if t is None else html.unescape(t) for t in made]

@@ -93,8 +93,11 @@ def test_platform_health(spark):
 def test_search_syntax(spark):
     assert search.parse_search('data "machine learning" -senior or python') == [[(True, "data"), (True, "machine learning"), (False, "senior")], [(True, "python")]]
     df = spark.createDataFrame([(1, "Data Engineer", "machine learning"), (2, "Senior data", "machine learning"), (3, "x", "python"), (4, "x", "y")], "id int, a string, b string")
-    hit, rank = search.text_rank([F.col("a"), F.col("b")], 'data "machine learning" -senior or python')
-    assert {r.id: r.r for r in df.where(hit).select("id", rank.alias("r")).collect()} == {1: 1.4, 3: 0.4}
+    fields = [F.col("a"), F.col("b")]
+    found = lambda q: {r.id: r["rank"] for r in search.ranked(df, fields, q).collect()}
+    assert found('data "machine learning" -senior or python') == {1: 1.4, 3: 0.4}
+    assert found("-data -pythons") == {4: 0.0} and found("") == {} and found("engineers machined") == {}
+    assert found("engineering") == {} and found("engineers") == {1: 1.0}
 
 
 def test_near_duplicates_equal_brute_force(spark):
