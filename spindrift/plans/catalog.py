@@ -337,7 +337,7 @@ def html_links(read):
 
 
 #: Every reference that the given pages hold, the ampersand last.
-_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&copy;", "©"), ("&amp;", "&"))
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 
 def _sql_unescape(column: str) -> str:
