@@ -4,7 +4,8 @@ A hash rotates a vector by three rounds of random signs and a Walsh-Hadamard tra
 axis; a table joins a few such hashes, so that buckets stay small at any number of vectors. A vector enters its own
 bucket and the next most likely ones of each table. Buckets are cut into blocks and compared in pairs of blocks by
 matrix products, in double precision: pairs are counted where they first meet and never emitted; what leaves a task
-is a count for each vector and links that join its members. Identical vectors are one representative throughout.
+is a count for each vector and links that join its members. Identical vectors are one content throughout, named by its
+digest, and travel in single precision where that loses nothing.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from spindrift.operators.components import components
 COSINE = 0.9
 #: Vectors a bucket should hold on average; sets how many hashes a table joins.
 BUCKET = 512
-#: Tables for each joined hash, and buckets a vector enters in each. Recall is measured in the tests.
-TABLES_PER_HASH, PROBES = 8, 2
+#: Tables where each is one hash, doubled with every hash joined to it, and buckets a vector enters in each. Recall is measured in the tests.
+TABLES, PROBES = 8, 2
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 1024
+#: Least length of a rotated vector: in fewer dimensions rounds of signs only turn by a few fixed angles, so shorter vectors are padded.
+LEAST_DIM = 16
 
 
 @lru_cache(maxsize=64)
@@ -48,10 +51,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tables_of(hashes: int) -> int:
+    return TABLES << (hashes - 1)
+
+
+def rotated_length(dim: int) -> int:
+    return max(LEAST_DIM, 1 << (dim - 1).bit_length())
+
+
 def buckets(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     """The probes buckets of each unit vector in each table, likeliest first: (vectors, tables, probes)."""
     n, dim = vectors.shape
-    padded = 1 << max(1, (dim - 1).bit_length())
+    padded = rotated_length(dim)
     x = np.zeros((n, padded), np.float32)
     x[:, :dim] = vectors
     out = np.zeros((n, tables, probes), np.int64)
@@ -81,7 +92,7 @@ def buckets(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np.nd
     return out
 
 
-_REPS = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary()), ("places", pa.list_(pa.int64()))])
+_PLACED = pa.schema([("content", pa.binary()), ("copies", pa.int64()), ("dim", pa.int32()), ("vector", pa.binary()), ("codes", pa.binary()), ("places", pa.list_(pa.int64()))])
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,20 +105,34 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(rows, pa.binary())], names=["vec_id", "vector"])
 
 
+def _narrow(v: np.ndarray) -> bytes:
+    single = v.astype(np.float32)
+    return single.tobytes() if (single == v).all() else v.tobytes()
+
+
+def _units(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision from packed ones."""
+    x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in vectors]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _code_type(dim: int, hashes: int) -> str:
+    return "<i4" if (2 * rotated_length(dim)) ** hashes < 1 << 31 else "<i8"
+
+
 def _place(tables: int, hashes: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [np.frombuffer(v, np.float64) for v in batch["vector"].to_pylist()]
-            units, places = [None] * len(raw), [None] * len(raw)
+            vectors, codes, places = [_narrow(v) for v in raw], [None] * len(raw), [None] * len(raw)
             for dim in {len(v) for v in raw}:
                 at = [i for i, v in enumerate(raw) if len(v) == dim]
-                x = np.stack([raw[i] for i in at])
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                found = buckets(x, tables, hashes, probes)
-                for i, u, p in zip(at, x, found, strict=True):
-                    units[i], places[i] = u.tobytes(), p.ravel()
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["copies"], pa.array(units, pa.binary()), pa.array(places, pa.list_(pa.int64()))], schema=_REPS)
+                found = buckets(_units([vectors[i] for i in at], dim), tables, hashes, probes)
+                for i, p in zip(at, found, strict=True):
+                    places[i], codes[i] = p.ravel(), p.astype(_code_type(dim, hashes)).tobytes()
+            dims = pa.array([len(v) for v in raw], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["content"], batch["copies"], dims, pa.array(vectors, pa.binary()), pa.array(codes, pa.binary()), pa.array(places, pa.list_(pa.int64()))], schema=_PLACED)
 
     return run
 
@@ -123,11 +148,14 @@ def _components(mask: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _compare(tables: int, probes: int):
-    def solve(rows: list[tuple], table: int, bucket: int) -> Iterator[tuple[int, int, int, int]]:
+_FOUND = pa.schema([("content", pa.binary()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _compare(tables: int, hashes: int, probes: int):
+    def solve(rows: list[tuple], table: int, bucket: int, dim: int) -> Iterator[tuple[bytes, int, bytes, bytes]]:
         ids, copies = [r[0] for r in rows], np.array([r[1] for r in rows])
-        units = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
-        places = np.array([r[3] for r in rows]).reshape(len(rows), tables, probes)
+        units = _units([r[2] for r in rows], dim)
+        places = np.stack([np.frombuffer(r[3], _code_type(dim, hashes)) for r in rows]).reshape(len(rows), tables, probes)
         block = np.array([r[4] for r in rows])
         linked = units @ units.T >= COSINE
         np.fill_diagonal(linked, False)
@@ -154,21 +182,24 @@ def _compare(tables: int, probes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
-        schema = pa.schema([(n, pa.int64()) for n in ("rep", "n", "a", "b")])
+
+        def packed(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
         for batch in batches:
-            for table, bucket, dim, first, second, rep, copies, unit, places, block in zip(*batch.to_pydict().values(), strict=True):
+            for table, bucket, dim, first, second, content, copies, vector, codes, block in zip(*batch.to_pydict().values(), strict=True):
                 if (table, bucket, dim, first, second) != key:
                     if len(rows) > 1:
-                        out += solve(rows, key[0], key[1])
+                        out += solve(rows, *key[:3])
                     key, rows = (table, bucket, dim, first, second), []
-                rows.append((rep, copies, unit, places, block))
+                rows.append((content, copies, vector, codes, block))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+                yield packed(out)
                 out = []
         if len(rows) > 1:
-            out += solve(rows, key[0], key[1])
+            out += solve(rows, *key[:3])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            yield packed(out)
 
     return run
 
@@ -178,34 +209,36 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     Links are pairs with a cosine of 0.9 or more that share a bucket. Null, empty and zero vectors, and those with null
     or non-finite components, link with nothing; vectors of different lengths don't either. Identical vectors are
-    linked with each other. Rows that repeat a vec_id are vectors like others. Further columns are ignored.
+    linked with each other. Rows that repeat a vec_id are vectors like others, each with its own links; rows with a
+    null vec_id link with nothing and are kept. An empty table gives no rows; further columns are ignored.
     """
     spark = vectors.sparkSession
     rows = columns(vectors, vec_id=vec_id, embedding=embedding).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    clean = materialise(rows.mapInArrow(_clean, "vec_id long, vector binary").withColumn("content", F.when(F.col("vector").isNotNull(), F.sha2("vector", 256))), "vectors")
-    distinct = clean.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).groupBy("content").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    digest = F.when(F.col("vector").isNotNull(), F.substring(F.unhex(F.sha2("vector", 256)), 1, 16))
+    clean = materialise(rows.mapInArrow(_clean, "vec_id long, vector binary").withColumn("content", digest), "vectors")
+    distinct = clean.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).groupBy("content").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     reps = materialise(distinct, "distinct-vectors")
     n, dim = reps.agg(F.count(F.lit(1)), F.max(F.octet_length("vector") / 8)).first()
-    axes = 2 << max(1, (int(dim or 2) - 1).bit_length())
-    hashes = max(1, math.ceil(math.log(max(1, n / bucket)) / math.log(axes)))
-    tables, probes = TABLES_PER_HASH * hashes, PROBES
-    placed = materialise(reps.select("rep", "copies", "vector").mapInArrow(_place(tables, hashes, probes), "rep long, copies long, unit binary, places array<long>"), "places")
-    spots = placed.select("rep", F.octet_length("unit").alias("dim"), F.posexplode("places").alias("at", "bucket")).select("rep", "dim", F.expr(f"at div {probes}").cast("int").alias("table"), "bucket").distinct()
+    hashes = max(1, math.ceil(math.log(max(1, n / bucket)) / math.log(2 * rotated_length(int(dim or 1)))))
+    tables, probes = tables_of(hashes), PROBES
+    placed = materialise(reps.select("content", "copies", "vector").mapInArrow(_place(tables, hashes, probes), "content binary, copies long, dim int, vector binary, codes binary, places array<long>"), "places")
+    spots = placed.select("content", "dim", F.posexplode("places").alias("at", "bucket")).select("content", "dim", F.expr(f"at div {probes}").cast("int").alias("table"), "bucket").distinct()
     full = spots.groupBy("table", "bucket", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "bucket", "dim", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     # A member's block within a bucket is a hash, so no bucket has to be numbered in one task.
-    member = spots.join(full, ["table", "bucket", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep", "table"), F.col("blocks")).cast("int"))
-    pairs = member.join(placed, "rep").select("table", "bucket", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "rep", "copies", "unit", "places")
-    pairs = pairs.select("table", "bucket", "dim", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "copies", "unit", "places", "block")
+    member = spots.join(full, ["table", "bucket", "dim"]).withColumn("block", F.pmod(F.xxhash64("content", "table"), F.col("blocks")).cast("int"))
+    groups, held = ["table", "bucket", "dim", "first", "second"], ["content", "copies", "vector", "codes"]
+    pairs = member.join(placed.select(*held), "content").select("table", "bucket", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", *held)
+    pairs = pairs.select("table", "bucket", "dim", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), *held, "block")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = ["table", "bucket", "dim", "first", "second"]
-    found = materialise(pairs.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(_compare(tables, probes), "rep long, n long, a long, b long"), "found")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    classes = components(found.select("a", "b"))
+    found = materialise(pairs.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(_compare(tables, hashes, probes), "content binary, n long, a binary, b binary"), "found")
+    counts = found.groupBy("content").agg(F.sum("n").alias("n"))
+    linked = materialise(components(found.select("a", "b")).join(reps.select(F.col("content").alias("vertex"), "least"), "vertex"), "linked")
+    classes = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("vertex").alias("content"), "component_id")
     of_content = (
-        reps.select("content", "rep", "copies")
-        .join(counts, "rep", "left")
-        .join(classes, F.col("rep") == F.col("vertex"), "left")
-        .select("content", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        reps.select("content", "least", "copies")
+        .join(counts, "content", "left")
+        .join(classes, "content", "left")
+        .select("content", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
     joined = clean.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("content")).alias("content")).join(of_content, "content", "left")
     joined = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
