@@ -6,13 +6,14 @@ again send their context (up to 68 bytes before, 100 from it on) to be sorted; r
 settled there and sent once.
 
 Sorting. The suffixes at the occurrences of an anchor (and the prefixes before them, read backwards) are put in order
-as deep-shallow sorting does: multikey steps over eight bytes at a time order all groups at once to a shallow depth,
-then a blind trie orders each group that is still tied. The order and its common-prefix lengths give, for every split
+as deep-shallow sorting does: multikey quicksort, eight bytes a character and all groups at once, to a shallow depth
+(groups of one leave it at once), then a blind trie orders each group that is still tied. The order and its common-prefix lengths give, for every split
 of a window around the anchor, classes of equal windows; all but a class's first are repeats.
 
 Flow. Anchors are hashed in one pass (a task sends an anchor of a shard once, so a passage in every document is a row a
 shard), the repeated ones meet the texts again by shard, contexts meet by anchor, covered intervals return by shard to
-the same exchange of texts. Anchors that too many contexts share are split further: by the windows' own hashes.
+the same exchange of texts. Anchors that too many contexts share are dealt further, by the hash of each window around
+them; the windows of one hash are sorted in the same way.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import columns
+from spindrift.llm.common import columns, slices
 
 #: Bytes of a repeat, of an anchor's gram, and grams a window chooses from.
 LENGTH = 100
 GRAM = 32
 CHOICE = LENGTH - GRAM + 1
-#: Depth to which multikey steps sort before blind tries take over.
+#: Depth to which multikey quicksort sorts before blind tries take over.
 SHALLOW = 64
-#: Occurrences beyond which an anchor's windows are matched by hash, spread over tasks, instead of sorted together.
+#: Occurrences beyond which an anchor's windows are dealt over tasks by their own hash before they are sorted.
 HOT = 20_000
 #: Bytes of text of a shard, the unit that meets its repeated anchors in one task.
 SHARD_BYTES = 8_000_000
@@ -110,13 +111,14 @@ _ANCHORS = pa.schema([("anchor", pa.int64()), ("shard", pa.int32()), ("n", pa.in
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each anchor of a shard once a batch, with its number of occurrences."""
     for batch in batches:
-        shards, texts = batch["shard"].to_numpy(), [t or b"" for t in batch["data"].to_pylist()]
         found: dict[int, list[np.ndarray]] = {}
-        for first, data, starts, ends in _slices(texts):
-            at, h = anchors(data, starts, ends)
-            of = shards[first : first + len(ends)][np.searchsorted(ends, at, "right")]
-            for s in np.unique(of).tolist():
-                found.setdefault(s, []).append(h[of == s])
+        for part in slices(batch, "data", SLICE):
+            shards = part["shard"].to_numpy()
+            for first, data, starts, ends in _slices([t or b"" for t in part["data"].to_pylist()]):
+                at, h = anchors(data, starts, ends)
+                of = shards[first : first + len(ends)][np.searchsorted(ends, at, "right")]
+                for s in np.unique(of).tolist():
+                    found.setdefault(s, []).append(h[of == s])
         for s, parts in found.items():
             h, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), s, np.int32)), pa.array(n, pa.int64())], schema=_ANCHORS)
@@ -124,19 +126,24 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of anchor: those of anchors that occur more than once, n as the total over shards."""
-    held = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        h = table["anchor"].to_numpy()
-        if not len(h):
+        if not batch.num_rows:
             continue
-        # The last anchor may go on in the next batch: a row a shard at most.
+        h = batch["anchor"].to_numpy()
+        # The last anchor may go on in the next batch: its rows are held, a row a shard and batch of its texts.
         cut = int(np.searchsorted(h, h[-1], "left"))
-        yield from _totals(table.slice(0, cut))
-        rest = table.slice(cut).combine_chunks().to_batches()
-        held = rest[0] if rest else None
-    if held is not None:
-        yield from _totals(pa.Table.from_batches([held]))
+        if held and (cut or held[-1]["anchor"][0] != batch["anchor"][0]):
+            same = int(np.searchsorted(h, held[-1]["anchor"][0].as_py(), "right"))
+            yield from _totals(pa.Table.from_batches([*held, batch.slice(0, same)]).combine_chunks())
+            held = []
+            if same < cut:
+                yield from _totals(pa.Table.from_batches([batch.slice(same, cut - same)]))
+        elif cut:
+            yield from _totals(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield from _totals(pa.Table.from_batches(held).combine_chunks())
 
 
 def _totals(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -186,7 +193,7 @@ def _contexts(hot: int):
             left = left.sort_by([("doc_id", "ascending"), ("row", "ascending")])
             ids, rows, shard = left["doc_id"].to_pylist(), left["row"].to_pylist(), left["shard"][0].as_py()
             texts = [t or b"" for t in left["data"].to_pylist()]
-            known, windows, settled = set(), {}, {}
+            known, windows, settled = set(), set(), {}
             looked_at = (-1, -1)
             for first, data, starts, ends in _slices(texts):
                 at, h = anchors(data, starts, ends)
@@ -211,9 +218,9 @@ def _contexts(hot: int):
                             if digest in windows:
                                 _cover(settled.setdefault(i, []), s - begin, s - begin + LENGTH)
                             else:
-                                windows[digest] = True
+                                windows.add(digest)
                                 k = np.frombuffer(digest, "<i8").tolist()
-                                out.append((1, k[0], k[1], ids[i], rows[i], shard, s - begin, 0, None))
+                                out.append((1, k[0], k[1], ids[i], rows[i], shard, s - begin, 0, raw[s : s + LENGTH]))
                     elif (key, p - low, context) in known:
                         # An earlier equal context compares for this one: all its windows are repeats.
                         _cover(settled.setdefault(i, []), low - begin, high - begin)
@@ -284,22 +291,45 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
+def multikey_quicksort(words: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, tied): rows of words in order within their groups (ascending numbers), and for each place where its run of equal rows starts.
+
+    A step splits every group at once into rows below, at and above its pivot by the word at the group's depth; rows at
+    the pivot go on to the next word, and groups of one row or without further words are done.
+    """
+    n, depth = len(groups), np.zeros(len(groups), np.int64)
+    order, place = np.argsort(groups, kind="stable"), np.arange(n)
+    start, size, active = np.zeros(n, np.int64), np.zeros(n, np.int64), place
+
+    def runs(fresh: np.ndarray) -> None:
+        start[active] = np.maximum.accumulate(np.where(fresh, active, 0))
+        at = np.flatnonzero(fresh)
+        size[active] = np.repeat(np.diff(np.append(at, len(fresh))), np.diff(np.append(at, len(fresh))))
+
+    held = groups[order]
+    if n:
+        runs(np.concatenate([[True], held[1:] != held[:-1]]))
+    active = active[size > 1]
+    while len(active):
+        rows, level, first = order[active], depth[active], start[active]
+        word, pivot = words[rows, level], words[order[first + size[active] // 2], level]
+        side = (word > pivot).astype(np.int64) - (word < pivot)
+        key = first * 3 + side
+        moved = np.argsort(key, kind="stable")
+        order[active], key, side = rows[moved], key[moved], side[moved]
+        depth[active] = level + (side == 0)
+        runs(np.concatenate([[True], key[1:] != key[:-1]]))
+        active = active[(size[active] > 1) & (depth[active] < words.shape[1])]
+    return order, start
+
+
 def deep_shallow(texts: list[bytes], groups: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, shared): texts in order within their groups (ascending numbers), and each one's common prefix with the one before, -1 at a group's start."""
     n = len(texts)
-    words = np.zeros((n, shallow // 8), np.uint64)
-    padded = np.frombuffer(b"".join(t[:shallow].ljust(shallow, b"\0") for t in texts), ">u8").reshape(n, -1) if n else words
-    order, tied = np.argsort(groups, kind="stable"), groups
-    for i in range(shallow // 8):
-        # One multikey step: within groups of equal prefixes, by the next eight bytes.
-        order = order[np.lexsort((padded[order, i], tied[order]))]
-        word, group = padded[order, i], tied[order]
-        fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (group[1:] != group[:-1])]) if n else np.zeros(0, bool)
-        renewed = np.empty(n, np.int64)
-        renewed[order] = np.cumsum(fresh)
-        tied = renewed
+    words = np.frombuffer(b"".join(t[:shallow].ljust(shallow, b"\0") for t in texts), ">u8").astype(np.uint64).reshape(n, shallow // 8)
+    order, tied = multikey_quicksort(words, groups)
     out, shared = [], []
-    bounds = np.flatnonzero(np.concatenate([[True], tied[order][1:] != tied[order][:-1], [True]])).tolist() if n else [0]
+    bounds = [*np.flatnonzero(tied == np.arange(n)).tolist(), n]
     listed, of_group = order.tolist(), groups.tolist()
     for low, high in zip(bounds, bounds[1:], strict=False):
         head = listed[low]
@@ -364,7 +394,10 @@ def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.stack([table["key"].to_numpy(), table["key2"].to_numpy()], axis=1)
         windows = np.flatnonzero(kind == 1)
         if len(windows) > 1:
-            again = windows[1:][(keys[windows[1:]] == keys[windows[:-1]]).all(axis=1)]
+            group = np.cumsum(np.concatenate([[True], (keys[windows[1:]] != keys[windows[:-1]]).any(axis=1)]))
+            windows, group = windows[np.bincount(group)[group] > 1], group[np.bincount(group)[group] > 1]
+            order, shared = deep_shallow(table["context"].take(pa.array(windows)).to_pylist(), group)
+            again = windows[order[shared >= LENGTH]]
             starts[again], ends[again] = pos[again], pos[again] + LENGTH
         held = np.flatnonzero(kind == 0)
         if len(held) > 1:
@@ -426,7 +459,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     # Shards are ranges of doc_id, so a task sends an anchor once for each of the few shards it reads.
-    placed = rows.withColumn("row", F.xxhash64("data")).withColumn("shard", _shards(rows, shard_bytes))
+    placed = rows.withColumn("row", F.xxhash64("data")).withColumn("shard", _shards(rows, shard_bytes))  # row tells rows of one id apart
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = placed.select("shard", "data").mapInArrow(_list_anchors, "anchor long, shard int, n long")
     repeated = listed.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "anchor long, shard int, n long")
@@ -459,4 +492,4 @@ def _shards(rows: DataFrame, shard_bytes: int) -> Column:
             shard, filled = shard + pieces, 0
         else:
             filled += weight
-    return (F.get(F.lit(first), at) + F.pmod(F.xxhash64("doc_id"), F.get(F.lit(split), at))).cast("int")
+    return (F.get(F.lit(first), at) + F.pmod(F.xxhash64("doc_id", "row"), F.get(F.lit(split), at))).cast("int")
