@@ -203,19 +203,29 @@ def test_piece_codec(spark):
     assert piece_codec.encode(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
-def test_cross_polytope_recall():
-    rng = np.random.default_rng(1)
-    a = rng.standard_normal((1500, 64))
+@pytest.mark.parametrize("dim", [2, 3, 16, 64, 384, 768])
+def test_cross_polytope_recall(dim):
+    """Pairs at a cosine of exactly 0.9, the hardest that count, for every number of joined hashes."""
+    rng, n_pairs = np.random.default_rng(dim), 300
+    a = rng.standard_normal((n_pairs, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     n = rng.standard_normal(a.shape)
     n -= (n * a).sum(1, keepdims=True) * a
     n /= np.linalg.norm(n, axis=1, keepdims=True)
-    for cosine in (0.9, 0.95):
-        b = cosine * a + np.sqrt(1 - cosine**2) * n
-        for hashes in (1, 2, 3):
-            placed = embedding_dedup.buckets(np.concatenate([a, b]), embedding_dedup.TABLES_PER_HASH * hashes, hashes, embedding_dedup.PROBES)
-            met = (placed[:1500, :, :, None] == placed[1500:, :, None, :]).any((1, 2, 3))
-            assert met.mean() >= (0.95 if hashes < 3 else 0.9), (cosine, hashes)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * n
+    for hashes in (1, 2, 3, 4):
+        met = np.zeros(n_pairs, bool)
+        placed = embedding_dedup.buckets(np.concatenate([a, b]), embedding_dedup.tables_of(hashes), hashes, embedding_dedup.PROBES)
+        met |= (placed[:n_pairs, :, :, None] == placed[n_pairs:, :, None, :]).any((1, 2, 3))
+        print(f"recall dim {dim} hashes {hashes}: {met.mean():.3f}")
+        assert met.mean() >= 0.9, (dim, hashes)
+
+
+def test_near_vectors_of_repeated_and_null_ids(spark):
+    one, two = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.0]
+    rows = [(7, one, 1), (7, two, 1), (8, [x * 2 for x in one], 1), (9, two, 1), (9, two, 1), (None, one, 1), (None, None, 1)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, component_id int").withColumn("kept", F.lit("x"))).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (9, 2, 7, False), (None, 0, None, True), (None, 0, None, True)], key=str)
 
 
 @pytest.mark.parametrize("size", [64, 1024])
