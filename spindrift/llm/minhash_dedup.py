@@ -10,10 +10,10 @@ Verification goes before connection, so unverified band hits never chain:
 
 1. Each content is verified against the least content of each of its buckets (its pivot). This takes a text a pair of
    content and pivot, linear in a group of copies, and joins most of what belongs together.
-2. Only buckets that still hold several components go on. Members outside a bucket's largest component (strays) are
-   compared with all its members in pairs of blocks: first by signatures, then, for members of a pair that may be
-   similar, by texts. Pairs of one component are skipped, a pair counts in its first common band, and what leaves a
-   task are links that join components, never all pairs.
+2. Only buckets that still hold several components go on, gathered by their largest component (the hub), so that what
+   meets in many bands is looked at once. Members outside the hub (strays) are compared with all members in pairs of
+   blocks: first by signatures, then, for members of a pair that meets in a band and may be similar, by texts. Pairs of
+   one component are skipped, and what leaves a task are links that join components, never all pairs.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Register agreement this far (five standard deviations) below the threshold rules a pair out before exact work.
 SLACK = 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-#: Members of a block; two blocks are compared in one task.
-BLOCK = 256
+#: Members of a pivot's block, and of a block of signatures; two of the latter are compared in one task.
+BLOCK, CODE_BLOCK = 256, 1024
+#: Bytes of text that two blocks may have together; beyond that they are cut further.
+BLOCK_BYTES = 16 << 20
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -210,9 +212,9 @@ def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], schema=_LINKS)
 
 
-GROUP = ["band", "key", "i", "j"]
-#: side 0: a stray; 1: a member of the bucket's largest component; 2: another member.
-_SURVIVORS = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("component", pa.binary()), ("content", pa.binary())])
+GROUP = ["hub", "i", "j"]
+#: side 0: a stray; 1: a member of the hub; 2: another member.
+_SURVIVORS = pa.schema([("hub", pa.binary()), ("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("component", pa.binary()), ("content", pa.binary())])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[list[tuple]]:
@@ -220,38 +222,39 @@ def _groups(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[list[tupl
     key, rows = None, []
     for part in (x for batch in batches for x in slices(batch, sized, SLICE)):
         for row in zip(*part.to_pydict().values(), strict=True):
-            if row[:4] != key:
+            if row[:3] != key:
                 if len(rows) > 1:
                     yield rows
-                key, rows = row[:4], []
+                key, rows = row[:3], []
             rows.append(row)
     if len(rows) > 1:
         yield rows
 
 
 def _candidates(rows: list[tuple], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(strays, members, agreement) of the pairs of a group that may be similar, first meet in its band, and are of two components."""
-    band, side = rows[0][0], np.array([r[4] for r in rows])
-    names = {c: k for k, c in enumerate(sorted({r[5] for r in rows}))}
-    component, order = np.array([names[r[5]] for r in rows]), np.argsort(np.argsort(np.array([r[6] for r in rows], object), kind="stable"), kind="stable")
+    """(strays, members, agreement) of the pairs of a group that meet in a band, may be similar, and are of two components."""
+    side = np.array([r[3] for r in rows])
+    names = {c: k for k, c in enumerate(sorted({r[4] for r in rows}))}
+    component, order = np.array([names[r[4]] for r in rows]), np.argsort(np.argsort(np.array([r[5] for r in rows], object), kind="stable"), kind="stable")
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
-    agree = np.zeros((len(x), len(y)), np.uint16)
-    for i in range(REGISTERS):
-        agree += codes[x, i][:, None] == codes[y, i][None, :]
-    wanted = (agree >= (SIMILARITY - SLACK) * REGISTERS) & (component[x][:, None] != component[y][None, :])
     # Two strays meet twice, once as stray and member and once the other way round.
-    wanted &= (side[y] == 1)[None, :] | (order[x][:, None] < order[y][None, :])
-    for t in range(band):
-        wanted &= keys[x, t][:, None] != keys[y, t][None, :]
-    a, b = np.nonzero(wanted)
-    return x[a], y[b], agree[a, b]
+    wanted = (component[x][:, None] != component[y][None, :]) & ((side[y] == 1)[None, :] | (order[x][:, None] < order[y][None, :]))
+    met = np.zeros(wanted.shape, bool)
+    for t in range(BANDS):
+        met |= keys[x, t][:, None] == keys[y, t][None, :]
+    a, b = np.nonzero(wanted & met)
+    agree = np.zeros(len(a), np.int64)
+    for i in range(REGISTERS):
+        agree += codes[x[a], i] == codes[y[b], i]
+    near = agree >= (SIMILARITY - SLACK) * REGISTERS
+    return x[a[near]], y[b[near]], agree[near]
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, side, component, content, codes, keys): those that are in a candidate pair, without codes and keys."""
     for rows in _groups(batches, "codes"):
-        x, y, _ = _candidates(rows, np.stack([np.frombuffer(r[7], "<u2") for r in rows]), np.array([r[8] for r in rows]))
-        stay = [rows[k][:7] for k in np.unique(np.concatenate([x, y])).tolist()]
+        x, y, _ = _candidates(rows, np.stack([np.frombuffer(r[6], "<u2") for r in rows]), np.array([r[7] for r in rows]))
+        stay = [rows[k][:6] for k in np.unique(np.concatenate([x, y])).tolist()]
         if stay:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stay, strict=True), _SURVIVORS, strict=True)], schema=_SURVIVORS)
 
@@ -259,10 +262,10 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, side, component, content, text): links that join components of a group."""
     for rows in _groups(batches, "text"):
-        sets = shingles([r[7] for r in rows])
+        sets = shingles([r[6] for r in rows])
         winners = signatures(sets)
         x, y, agree = _candidates(rows, winners & np.uint64(0xFFFF), band_keys(winners))
-        up, found = {r[5]: r[5] for r in rows}, []
+        up, found = {r[4]: r[4] for r in rows}, []
 
         def root(c: bytes, up: dict = up) -> bytes:
             while up[c] != c:
@@ -270,12 +273,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = up[c]
             return c
 
-        order = np.argsort(-agree.astype(int), kind="stable")
+        order = np.argsort(-agree, kind="stable")
         for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-            a, b = root(rows[i][5]), root(rows[j][5])
+            a, b = root(rows[i][4]), root(rows[j][4])
             if a != b and _similar(sets[i], sets[j]):
                 up[a] = b
-                found.append((rows[i][6], rows[j][6]))
+                found.append((rows[i][5], rows[j][5]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=_LINKS)
 
@@ -285,7 +288,7 @@ def _dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
 
-def _links(met: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+def _links(met: DataFrame, texts: DataFrame, block: int, code_block: int) -> DataFrame:
     """Verified links (a, b) between contents from their buckets (band, key, content, pivot, n)."""
     # Members of a pivot whose buckets differ in size lie in different blocks; each block has the pivot's text.
     pairs = met.where("content <> pivot").groupBy("pivot", "content").agg(F.ceil(F.max("n") / block).cast("int").alias("blocks"))
@@ -298,9 +301,11 @@ def _links(met: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     joined = components(first).withColumnRenamed("vertex", "content")
     labelled = materialise(met.select("band", "key", "content").join(joined, "content", "left").withColumn("component", F.coalesce("component", "content")), "labelled")
     shares = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = shares.groupBy("band", "key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", "n").alias("largest")).where("kinds > 1")
-    mixed = mixed.select("band", "key", "largest", F.ceil(F.col("total") / block).cast("int").alias("rows"), F.ceil((F.col("total") - F.col("most")) / block).cast("int").alias("strays"))
-    members = labelled.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("largest"))
+    mixed = shares.groupBy("band", "key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("kinds > 1")
+    members = labelled.join(mixed.select("band", "key", F.col("largest").alias("hub")), ["band", "key"]).select("hub", "component", "content").distinct()
+    members = materialise(members.withColumn("stray", F.col("component") != F.col("hub")), "members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / code_block).cast("int").alias("rows"), F.ceil(F.count_if("stray") / code_block).cast("int").alias("strays"))
+    members = members.join(sizes, "hub")
 
     def dealt(blocks: str) -> Column:
         return F.pmod(F.xxhash64("content"), F.col(blocks)).cast("int")
@@ -308,15 +313,20 @@ def _links(met: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     def each(blocks: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    strays = members.where("stray").select("band", "key", dealt("strays").alias("i"), each("rows").alias("j"), F.lit(0).alias("side"), "component", "content")
-    others = members.select("band", "key", each("strays").alias("i"), dealt("rows").alias("j"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), "component", "content")
-    rows = strays.unionByName(others).join(texts.select("content", "codes", "keys"), "content").select(*GROUP, "side", "component", "content", "codes", "keys")
-    survivors = materialise(_dealt(rows, GROUP).mapInArrow(_screen, "band int, key long, i int, j int, side int, component binary, content binary"), "survivors")
-    rows = survivors.join(texts.select("content", "text"), "content").select(*GROUP, "side", "component", "content", "text")
+    strays = members.where("stray").select("hub", dealt("strays").alias("i"), each("rows").alias("j"), F.lit(0).alias("side"), "component", "content")
+    others = members.select("hub", each("strays").alias("i"), dealt("rows").alias("j"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), "component", "content")
+    rows = strays.unionByName(others).withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}).join(texts.select("content", "codes", "keys"), "content").select(*GROUP, "side", "component", "content", "codes", "keys")
+    survivors = materialise(_dealt(rows, GROUP).mapInArrow(_screen, "hub binary, i long, j long, side int, component binary, content binary"), "survivors")
+    weighed = survivors.join(texts.select("content", "text"), "content")
+    weights = weighed.groupBy(*GROUP).agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).cast("int").alias("parts"))
+    # A group of more bytes is parts x parts groups, strays dealt one way and members the other.
+    cut = weighed.join(weights, GROUP).withColumn("own", F.pmod(F.xxhash64("content", F.lit(1)), F.col("parts")).cast("int")).withColumn("other", each("parts"))
+    is_stray = F.col("side") == 0
+    rows = cut.select("hub", (F.col("i") * 65536 + F.when(is_stray, F.col("own")).otherwise(F.col("other"))).alias("i"), (F.col("j") * 65536 + F.when(is_stray, F.col("other")).otherwise(F.col("own"))).alias("j"), "side", "component", "content", "text")
     return first.unionByName(_dealt(rows, GROUP).mapInArrow(_across, "a binary, b binary"))
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, code_block: int = CODE_BLOCK) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), kept, text_hash; one row a row.
 
     Two documents are linked from a probability Jaccard similarity of 0.8 on, classes are what links connect. Null,
@@ -341,7 +351,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     once = F.row_number().over(Window.partitionBy("content").orderBy(F.lit(0)))
     texts = materialise(held.withColumn("_n", once).where("_n = 1").select("content", "text").mapInArrow(_coded, "content binary, text string, codes binary, keys array<long>"), "texts")
 
-    linked = components(_links(met, texts, block)).join(reps.select(F.col("content").alias("vertex"), "best"), "vertex")
+    linked = components(_links(met, texts, block, code_block)).join(reps.select(F.col("content").alias("vertex"), "best"), "vertex")
     linked = materialise(linked.select(F.col("vertex").alias("content"), "component", "best"), "linked")
     firsts = linked.groupBy("component").agg(F.min("best").alias("class"))
     classes = linked.select("content", "component").join(firsts, "component").select("content", "class")

@@ -207,7 +207,7 @@ def test_near_classes(spark, block):
         if minhash_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-12:
             a, b = sorted((root(i), root(j)))
             up[b] = a
-    got = {r.doc_id: r.class_id for r in minhash_dedup.near_classes(docs(spark, rows), block=block).collect()}
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_classes(docs(spark, rows), block=block, code_block=4 * block).collect()}
     assert got == {i: root(i) for i in range(len(rows))}
 
 
@@ -235,7 +235,7 @@ def test_near_classes_of_shared_ids_and_chains(spark):
             a, b = sorted((root(i), root(j)))
             up[b] = a
     for block in (5, 256):
-        got = minhash_dedup.near_classes(docs(spark, rows), block=block).withColumn("h", F.col("text_hash")).collect()
+        got = minhash_dedup.near_classes(docs(spark, rows), block=block, code_block=4 * block).withColumn("h", F.col("text_hash")).collect()
         hashes = {r[0]: h for r, h in zip(rows, [x[0] for x in spark.createDataFrame([(t,) for _, t in rows], "t string").select(F.xxhash64("t")).collect()])}
         assert len(got) == len(rows) and hashes
         want = sorted((r[0], rows[root(i)][0]) for i, r in enumerate(rows))
