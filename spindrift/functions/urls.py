@@ -60,3 +60,28 @@ def target(url: Column) -> Column:
 def links(text: Column) -> Column:
     """Distinct addresses in a text."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"https?://[^\s\"'<>)\]]+"), F.lit(0)))
+
+
+#: Where the company stands in addresses that searches find, by board, and names that are no company's.
+DISCOVERY = {
+    "greenhouse": (r"boards\.greenhouse\.io/(\w+)", r"boards-api\.greenhouse\.io/v1/boards/(\w+)", r"job-boards\.greenhouse\.io/(\w+)"),
+    "lever": (r"jobs\.lever\.co/([\w-]+)",),
+    "ashby": (r"jobs\.ashbyhq\.com/([\w-]+)",),
+    "workable": (r"apply\.workable\.com/([\w-]+)",),
+    "rippling": (r"ats\.rippling\.com/([\w-]+)",),
+    "smartrecruiters": (r"jobs\.smartrecruiters\.com/([\w-]+)",),
+    "bamboohr": (r"([\w-]+)\.bamboohr\.com",),
+    "workday": (r"([\w-]+)\.myworkdayjobs\.com", r"([\w-]+)\.wd\d+\.myworkdayjobs\.com"),
+    "gem": (r"job-boards\.gem\.com/([\w-]+)",),
+}
+RESERVED = ("embed", "api", "v1", "v0", "jobs", "careers", "www")
+
+
+def discovered(url: Column, ats: Column) -> Column:
+    """The company's name in an address of a board: the first pattern of the board whose match is not a reserved name, or null."""
+
+    def found(pattern: str) -> Column:
+        name = F.lower(F.regexp_extract(url, f"(?iU){pattern}", 1))
+        return F.when((name != "") & ~name.isin(*RESERVED), name)
+
+    return F.coalesce(*[F.when(ats == board, F.coalesce(*map(found, patterns))) for board, patterns in DISCOVERY.items()])

@@ -527,7 +527,10 @@ def posting_quality(read):
     return p.select("page_id", q["state"].alias("state"), q["reasons"].alias("reasons"), q["confidence"].alias("confidence"), classify.first_failure(title, urls.host(F.col("url")), F.lit("Remote"), F.col("url"), F.lit("jsonld")).alias("gate"))
 
 
-@query()
+@query("""
+SELECT page_id, NULL::VARCHAR AS platform, NULL::VARCHAR AS slug, CASE WHEN len(kept) > 0 THEN base || '?' || array_to_string(kept, '&') ELSE base END AS clean_url FROM (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base,
+list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_')) AS kept FROM pages)
+""")
 def url_targets(read):
     """Board, slug and address without tracking of each page's address."""
     p = read("pages")

@@ -111,9 +111,12 @@ BOARDS = {
     "remoteok": Board(("$",), ("$.id", "$.slug"), ("$.position",), ("$.location",), ("$.url",), ("$.date",), ("$.description",), no_place="Remote", keep=lambda v: at(v, "$.slug").isNotNull()),
     "remotive": Board(("$.jobs",), ("$.id",), ("$.title",), ("$.candidate_required_location",), ("$.url",), ("$.publication_date",), ("$.description",), no_place="Remote"),
     "github": Board(("$",), ("$.id",), ("$.title",), lambda v, s, i: _names(v, "$.locations", "$", 3), ("$.url",), lambda v, s, i: _seconds(v, "$.date_posted"), keep=lambda v: F.coalesce(F.try_variant_get(v, "$.active", "boolean"), F.lit(True)) & F.coalesce(F.try_variant_get(v, "$.is_visible", "boolean"), F.lit(True))),
+    "hiringcafe": Board(("$.jobs", "$.results", "$"), ("$.id", "$.job_id"), ("$.title", "$.job_title"), ("$.location",), ("$.url", "$.apply_url", "$.link"), ("$.date_posted", "$.posted_date", "$.date")),
+    "jobright": Board(("$.jobs", "$.results", "$.data", "$"), ("$.id", "$.job_id"), ("$.title", "$.job_title"), ("$.location",), ("$.url", "$.apply_url"), ("$.date_posted", "$.posted_date")),
+    "yc-startup": Board(("$.hits",), ("$.objectID", "$.id"), ("$.title",), lambda v, s, i: F.coalesce(_names(v, "$.pretty_location", "$"), at(v, "$.pretty_location"), _names(v, "$.location", "$"), at(v, "$.location")), lambda v, s, i: F.coalesce(at(v, "$.url"), F.concat(F.lit("https://www.workatastartup.com/jobs/"), at(v, "$.slug"))), ("$.created_at",)),
 }
 #: Where a posting names its own company.
-COMPANY = {"remoteok": "$.company", "remotive": "$.company_name", "github": "$.company_name"}
+COMPANY = {"remoteok": ("$.company",), "remotive": ("$.company_name",), "github": ("$.company_name",), "hiringcafe": ("$.company", "$.company_name"), "jobright": ("$.company", "$.company_name"), "yc-startup": ("$.company_name", "$.startup_name")}
 
 
 def read_board(payloads: DataFrame, platform: str, registry: dict[str, Board] = BOARDS) -> DataFrame:
@@ -130,7 +133,7 @@ def read_board(payloads: DataFrame, platform: str, registry: dict[str, Board] =
     def fill(spec: tuple[str, ...] | Callable) -> Column:
         return spec(j, slug, job_id) if callable(spec) else at(j, *spec)
 
-    company = F.coalesce(at(j, COMPANY[platform]), F.col("company")) if platform in COMPANY else F.col("company")
+    company = F.coalesce(at(j, *COMPANY[platform]), F.col("company")) if platform in COMPANY else F.col("company")
     text = fill(board.description)
     return listed.select(
         job_id.alias("job_id"),

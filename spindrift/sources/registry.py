@@ -63,3 +63,27 @@ def merge_csv(registry: DataFrame, csv: DataFrame, name: str = "company", url: s
 def listing(registry: DataFrame) -> DataFrame:
     """(ats, n, names): platforms by size, their companies sorted and joined."""
     return registry.groupBy("ats").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("company")), ", ").alias("names")).orderBy(F.col("n").desc(), "ats")
+
+
+def recovered_slug(slug: Column) -> Column:
+    """tenant:shard:site of a Workday slug whose site runs on into a path, or null if nothing can be saved."""
+    parts = F.split(F.coalesce(slug, F.lit("")), ":")
+    site = F.trim(F.regexp_extract(F.get(parts, 2), "^([^/?#]*)", 1))
+    sound = (F.size(parts) == 3) & (F.get(parts, 0) != "") & F.get(parts, 1).rlike("^[0-9]+$") & (site != "")
+    return F.when(sound, F.concat_ws(":", F.get(parts, 0), F.get(parts, 1), site))
+
+
+def clean_workday(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry, stats) of rows (company, ats, slug): Workday slugs recovered, each once under its longest name; other rows as they are."""
+    is_workday = F.lower(F.coalesce("ats", F.lit(""))) == "workday"
+    marked = rows.withColumn("_new", F.when(is_workday, recovered_slug(F.col("slug")))).withColumn("_name", F.trim(F.coalesce("company", F.lit(""))))
+    kept = marked.where(is_workday & F.col("_new").isNotNull())
+    longest = F.max_by("_name", F.struct(F.length("_name"), "_name"))
+    once = kept.groupBy(F.col("_new").alias("slug")).agg(longest.alias("name")).select(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("slug")).alias("company"), F.lit("workday").alias("ats"), "slug")
+    stats = marked.agg(F.count_if(is_workday).alias("workday_before"), F.count_distinct("_new").alias("workday_after"), F.count_if(is_workday & F.col("_new").isNull()).alias("dropped_unsalvageable"), F.count_if(~is_workday).alias("non_workday"))
+    return rows.where(~is_workday).select("company", "ats", "slug").unionByName(once), stats
+
+
+def priority(registry: DataFrame, names: list[str]) -> DataFrame:
+    """Targets of the companies on a list, whatever the case of their names."""
+    return registry.where(F.lower("company").isin([n.lower() for n in names]))
