@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import urls
 from spindrift.functions import vocabulary as V
-from spindrift.functions.extract import bound
-from spindrift.functions.text import squeeze
+from spindrift.functions.text import bound, squeeze
 
 
 def _any_word(words) -> str:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.functions import vocabulary as V
-from spindrift.functions.text import unescape
+from spindrift.functions.text import bound, unescape
 
 SALARY = "struct<salary_min:double,salary_max:double,currency:string>"
 
@@ -23,11 +22,6 @@ def _amount(text: Column) -> Column:
     return F.when(F.length(digits) - F.length(F.replace(digits, F.lit("."), F.lit(""))) > 1, F.replace(digits, F.lit("."), F.lit(""))).otherwise(digits).try_cast("double")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: as a lambda's variable, which no later rule copies."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _revenue(around: Column) -> Column:
     near = F.lit(False)
     for p in V.REVENUE:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "rsquo",
 BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: as a lambda's variable, which no later rule copies."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _windows(code: int) -> str:
     """What a number from 0x80 to 0x9F stands for."""
     try:
@@ -25,15 +31,16 @@ def _windows(code: int) -> str:
 
 
 def _table(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A map of texts as one literal, which the optimizer folds once."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def _of_number(code: Column) -> Column:
     """The text of a numeric reference: surrogates and numbers beyond Unicode are a replacement mark, controls and non-characters nothing."""
-    known = _table({0: "\ufffd", 13: "\r"} | {c: _windows(c) for c in range(0x80, 0xA0)})
+    known = _table({0: "\ufffd", 13: "\r"} | {c: _windows(c) for c in range(0x80, 0xA0)})  # by number
     nothing = code.between(1, 8) | (code == 11) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF) | code.bitwiseAND(0xFFFE).eqNullSafe(0xFFFE)
     mark = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(F.try_element_at(known, code.cast("int")), F.when(code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(mark))
+    return F.coalesce(F.try_element_at(known, code.cast("string")), F.when(code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(mark))
 
 
 def unescape(text: Column) -> Column:
@@ -41,16 +48,23 @@ def unescape(text: Column) -> Column:
     named = {f"{n};": html5[f"{n};"] for n in COMMON} | {n: v for n, v in html5.items() if n.endswith(";")}
     bare = "|".join(map(re.escape, BARE))
 
-    def resolved(part: Column) -> Column:
-        reference = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{1,31};)", 1)
-        short = F.regexp_extract(part, f"^({bare})", 1)
+    def numeric(reference: Column) -> Column:
         digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
         # Numbers of over eight digits are beyond Unicode whatever they are.
         number = F.when(F.length(digits) > 8, F.lit(0x110000)).when(reference.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("long")).otherwise(F.concat(F.lit("0"), digits).try_cast("long"))
-        full = F.when(reference.startswith("#"), _of_number(number)).otherwise(F.try_element_at(_table(named), reference))
-        rest = F.substring(part, F.length(reference) + 1, F.length(part))
-        brief = F.concat(F.try_element_at(_table({n: html5[n] for n in BARE}), short), F.substring(part, F.length(short) + 1, F.length(part)))
-        return F.coalesce(F.when(reference != "", F.concat(full, rest)), F.when(short != "", brief), F.concat(F.lit("&"), part))
+        return bound(number, _of_number)
+
+    def brief(part: Column) -> Column:
+        short = F.regexp_extract(part, f"^({bare})", 1)
+        return bound(short, lambda x: F.when(x != "", F.concat(F.try_element_at(_table({n: html5[n] for n in BARE}), x), F.substring(part, F.length(x) + 1, F.length(part)))))
+
+    def resolved(part: Column) -> Column:
+        def whole(reference: Column) -> Column:
+            mark = F.when(reference.startswith("#"), numeric(reference)).when(reference != "", F.try_element_at(_table(named), reference))
+            return F.concat(mark, F.substring(part, F.length(reference) + 1, F.length(part)))
+
+        full = bound(F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{1,31};)", 1), whole)
+        return F.coalesce(full, brief(part), F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&")
     return F.when(text.contains("&"), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(resolved(p))), "")).otherwise(text)

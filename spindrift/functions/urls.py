@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import bound
+
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -43,18 +45,19 @@ PLATFORM_HOSTS = (
 
 def platform(url: Column) -> Column:
     """The board a host belongs to, or null."""
-    h = host(url)
-    return F.coalesce(*[F.when((h == suffix) | h.endswith(f".{suffix}"), F.lit(name)) for name, suffix, _ in PLATFORM_HOSTS])
+    return bound(host(url), lambda h: F.coalesce(*[F.when((h == suffix) | h.endswith(f".{suffix}"), F.lit(name)) for name, suffix, _ in PLATFORM_HOSTS]))
 
 
 def target(url: Column) -> Column:
     """(platform, slug) of a board address; both null elsewhere. Workday slugs are tenant:shard:site."""
-    p = platform(url)
-    slug = F.coalesce(*[F.when(p == name, F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))) for name, _, pattern in PLATFORM_HOSTS])
-    shard = F.regexp_extract(url, r"://[^./]+\.(wd\d+)\.", 1)
-    site = F.regexp_extract(url, r"://[^/]+/(?:[a-z]{2}-[A-Z]{2}/)?([^/?#]+)", 1)
-    slug = F.when(p == "workday", F.concat_ws(":", F.nullif(slug, F.lit("")), F.nullif(shard, F.lit("")), F.nullif(site, F.lit("")))).otherwise(slug)
-    return F.struct(p.alias("platform"), slug.alias("slug"))
+
+    def named(p: Column) -> Column:
+        slug = F.coalesce(*[F.when(p == name, F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))) for name, _, pattern in PLATFORM_HOSTS if name != "workday"])
+        parts = (r"://([^./]+)\.", r"://[^./]+\.(wd\d+)\.", r"://[^/]+/(?:[a-z]{2}-[A-Z]{2}/)?([^/?#]+)")
+        workday = F.array_join(F.filter(F.array(*[F.regexp_extract(url, r, 1) for r in parts]), lambda x: x != ""), ":")
+        return F.struct(p.alias("platform"), F.when(p == "workday", workday).otherwise(slug).alias("slug"))
+
+    return bound(platform(url), named)
 
 
 def links(text: Column) -> Column:

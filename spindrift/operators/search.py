@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.extract import bound
+from spindrift.functions.text import bound
 
 
 def faceted(df: DataFrame, *, equals: dict[str, str] | None = None, contains: dict[str, str] | None = None, any_contains: tuple[list[str], str] | None = None, has_item: dict[str, str] | None = None, since: tuple[str, Column] | None = None, active: str | None = None, state: tuple[str, str] | None = None) -> DataFrame:

@@ -64,8 +64,8 @@ def dot(vector: Column, query: list[float]) -> Column:
 
 
 def top_similar(df: DataFrame, ident: str, vector: str, query: list[float], k: int, least: float | None = None) -> DataFrame:
-    """The k rows most similar to a unit vector; similarity is rounded to 4 places after ordering and the threshold."""
-    scored = df.select(ident, dot(F.col(vector), query).alias("_s"))
+    """The k rows most similar to a unit vector; similarity is rounded to 4 places after ordering and the threshold. An empty vector finds nothing."""
+    scored = df.where(F.lit(bool(query))).select(ident, dot(F.col(vector), query or [0.0]).alias("_s"))
     if least is not None:
         scored = scored.where(F.col("_s") >= least)
     tier = F.when(F.col("_s") > 0.7, "excellent").when(F.col("_s") > 0.5, "good").otherwise("fair")

@@ -34,6 +34,12 @@ def query(sql: str | None = None):
     return wrap
 
 
+def probe(read, vec_id: int) -> list[float]:
+    """The vector to search with; without it nothing is found."""
+    found = read("embeddings").where(F.col("vec_id") == vec_id).select("embedding").limit(1).collect()
+    return [float(x) for x in found[0].embedding] if found else []
+
+
 def ts(text_value: str):
     return F.lit(text_value).cast("timestamp_ntz")
 
@@ -381,9 +387,7 @@ SELECT vec_id, round(s, 4) AS similarity, CASE WHEN s > 0.7 THEN 'excellent' WHE
 FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q) ORDER BY s DESC, vec_id LIMIT 10
 """)
 def cosine_topk(read):
-    vectors = read("embeddings")
-    probe = [float(x) for x in vectors.where(F.col("vec_id") == 0).first().embedding]
-    return similar.top_similar(vectors, "vec_id", "embedding", probe, 10)
+    return similar.top_similar(read("embeddings"), "vec_id", "embedding", probe(read, 0), 10)
 
 
 @query("""
@@ -392,9 +396,7 @@ SELECT vec_id, round(s, 4) AS similarity, CASE WHEN s > 0.7 THEN 'excellent' WHE
 FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q) WHERE s >= 0.3 ORDER BY s DESC, vec_id LIMIT 25
 """)
 def match_tiers(read):
-    vectors = read("embeddings")
-    probe = [float(x) for x in vectors.where(F.col("vec_id") == 1).first().embedding]
-    return similar.top_similar(vectors, "vec_id", "embedding", probe, 25, least=0.3)
+    return similar.top_similar(read("embeddings"), "vec_id", "embedding", probe(read, 1), 25, least=0.3)
 
 
 def _sql_words(column: str) -> str:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators import feeds, rollups, tables
-from spindrift.plans.catalog import query, ts
+from spindrift.operators import feeds, rollups, similar, tables
+from spindrift.plans.catalog import probe, query, ts
 
 #: Orders as postings: what the queries below read, in SQL.
 _JOBS = """
@@ -89,16 +89,13 @@ def training_rows(read):
 
 @query("""
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 2),
-hits AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS similarity FROM embeddings, q ORDER BY list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 30)
+hits AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]), 4) AS similarity FROM embeddings, q ORDER BY list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 30)
 SELECT vec_id, similarity, source FROM hits JOIN documents ON vec_id = doc_id WHERE lang = 'en' ORDER BY similarity DESC, vec_id LIMIT 10
 """)
 def hits_with_rows(read):
-    vectors = read("embeddings").select("vec_id", "embedding")
-    probe = vectors.where(F.col("vec_id") == 2).select(F.col("embedding").alias("q")).limit(1)
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    hits = vectors.crossJoin(F.broadcast(probe)).select("vec_id", dot.alias("s")).orderBy(F.col("s").desc(), "vec_id").limit(30)  # the probe is one row
+    hits = similar.top_similar(read("embeddings"), "vec_id", "embedding", probe(read, 2), 30)
     active = read("documents").where(F.col("lang") == "en").select("doc_id", "source")
-    return feeds.hits_with_rows(hits.select("vec_id", F.round("s", 6).alias("similarity")), active, "vec_id", "doc_id", 10).select("vec_id", "similarity", "source")
+    return feeds.hits_with_rows(hits.select("vec_id", "similarity"), active, "vec_id", "doc_id", 10).select("vec_id", "similarity", "source")
 
 
 _TARGETS = """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import urls
+from spindrift.functions.text import bound
 from spindrift.sources.boards import BOARDS
 
 SUPPORTED = (*BOARDS, "icims", "jsonld")
@@ -14,19 +15,21 @@ SUPPORTED = (*BOARDS, "icims", "jsonld")
 def normalise(company: Column, ats: Column, slug: Column) -> Column:
     """(company, ats, slug, reason): addresses become slugs; reason is null for good targets."""
     company, ats, slug = F.trim(F.coalesce(company, F.lit(""))), F.lower(F.trim(F.coalesce(ats, F.lit("")))), F.trim(F.coalesce(slug, F.lit("")))
-    found = urls.target(slug)
-    is_url = slug.startswith("http://") | slug.startswith("https://")
-    clean = F.when(is_url, found["slug"]).otherwise(slug)
-    workday = ats == "workday"
-    reason = (
-        F.when(slug == "", "missing_slug")
-        .when(~ats.isin(*SUPPORTED), "unsupported_ats")
-        .when(is_url & found["platform"].isNotNull() & (found["platform"] != ats), "ats_mismatch")
-        .when(clean.isNull(), "unrecognised_url")
-        .when((ats != "jsonld") & clean.rlike("[ /?#]"), "malformed_slug")
-        .when(workday & (F.size(F.split(clean, ":")) != 3), "malformed_workday_slug")
-    )
-    return F.struct(company.alias("company"), ats.alias("ats"), F.when(ats == "jsonld", slug).otherwise(clean).alias("slug"), reason.alias("reason"))
+
+    def judged(found: Column) -> Column:
+        is_url = slug.startswith("http://") | slug.startswith("https://")
+        clean = F.when(is_url, found["slug"]).otherwise(slug)
+        reason = (
+            F.when(slug == "", "missing_slug")
+            .when(~ats.isin(*SUPPORTED), "unsupported_ats")
+            .when(is_url & found["platform"].isNotNull() & (found["platform"] != ats), "ats_mismatch")
+            .when(clean.isNull(), "unrecognised_url")
+            .when((ats != "jsonld") & clean.rlike("[ /?#]"), "malformed_slug")
+            .when((ats == "workday") & (F.size(F.split(clean, ":")) != 3), "malformed_workday_slug")
+        )
+        return F.struct(company.alias("company"), ats.alias("ats"), F.when(ats == "jsonld", slug).otherwise(clean).alias("slug"), reason.alias("reason"))
+
+    return bound(urls.target(slug), judged)
 
 
 def validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

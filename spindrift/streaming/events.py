@@ -66,8 +66,9 @@ def _breaker(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if state.exists:
         status, opened, streak, last = state.get
         held = {"status": status, "opened": opened, "streak": streak, "last": [int(c) for c in last]}
-    rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-    for failed, at in zip(rows.failed, rows.at_s if "at_s" in rows else rows["at"], strict=True):
+    # Only what the fold needs is held, some bytes an outcome of one trigger; its order needs them together.
+    rows = pd.concat([b[["at", "seq", "failed"]] for b in batches]).sort_values(["at", "seq"])
+    for failed, at in zip(rows.failed, rows["at"], strict=True):
         held = breaker_step(held, bool(failed), float(at))
     state.update((held["status"], held["opened"], held["streak"], "".join(map(str, held["last"]))))
     yield pd.DataFrame({"platform": [key[0]], "status": [held["status"]], "streak": [held["streak"]]})
@@ -78,6 +79,41 @@ def breakers(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("platform").applyInPandasWithState(_breaker, "platform string, status string, streak int", "status string, opened double, streak int, last string", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Least requests a second, first pause and longest one, longest wait a server may ask for, recovery a success.
+LEAST_RATE, PAUSE_S, MOST_PAUSE_S, MOST_ASKED_S, RECOVERY = 0.05, 10.0, 600.0, 900.0, 1.2
+
+
+def pace_step(state: dict, limited: bool, at: float, asked: float | None = None) -> dict:
+    """A host's pace after one answer: a refusal halves the rate and doubles the pause (a server's own wait counts if longer), a success restores a fifth."""
+    state = dict(state)
+    if limited:
+        state["refusals"] += 1
+        state["rate"] = max(LEAST_RATE, state["rate"] * 0.5)
+        pause = min(PAUSE_S * 2 ** min(state["refusals"] - 1, 10), MOST_PAUSE_S)
+        state["until"] = at + max(pause, min(asked, MOST_ASKED_S) if asked and asked > 0 else 0.0)
+    else:
+        state["refusals"], state["rate"] = 0, min(state["base"], state["rate"] * RECOVERY) if state["rate"] < state["base"] else state["rate"]
+    return state
+
+
+def _pace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat([b[["at", "seq", "limited", "asked", "base"]] for b in batches]).sort_values(["at", "seq"])
+    base = float(rows.base.iloc[0])
+    held = dict(zip(("base", "rate", "refusals", "until"), state.get, strict=True)) if state.exists else {"base": base, "rate": base, "refusals": 0, "until": 0.0}
+    for limited, at, asked in zip(rows.limited, rows["at"], rows.asked, strict=True):
+        held = pace_step(held, bool(limited), float(at), None if pd.isna(asked) else float(asked))
+    state.update((held["base"], held["rate"], held["refusals"], held["until"]))
+    yield pd.DataFrame({"host": [key[0]], "rate": [held["rate"]], "refusals": [held["refusals"]], "until": [held["until"]]})
+
+
+def paces(answers: DataFrame) -> DataFrame:
+    """(host, rate, refusals, until) after each batch of answers (host, seq, at in seconds, limited, asked, base); state is kept by host.
+
+    Ceilings of whole platforms are the same fold over answers whose host is the platform.
+    """
+    return answers.groupBy("host").applyInPandasWithState(_pace, "host string, rate double, refusals int, until double", "base double, rate double, refusals int, until double", "update", GroupStateTimeout.NoTimeout)
+
+
 def next_retry(failures, at, retry_after=None):
     """When a failed target is tried again: 1 h, 6 h, 24 h, then review after 7 days; a server's own wait counts if longer, up to a day."""
     wait = F.when(failures <= 1, RETRY_S[0]).when(failures == 2, RETRY_S[1]).when(failures == 3, RETRY_S[2]).otherwise(REVIEW_S)

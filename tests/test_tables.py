@@ -165,6 +165,24 @@ def test_breaker_rules():
     assert events.breaker_step(tripped, True, 3600)["status"] == "open"
 
 
+def test_paces(spark, tmp_path):
+    fresh = {"base": 2.0, "rate": 2.0, "refusals": 0, "until": 0.0}
+    once = events.pace_step(fresh, True, 100.0)
+    assert (once["rate"], once["until"]) == (1.0, 110.0)
+    twice = events.pace_step(once, True, 100.0, 700.0)
+    assert (twice["rate"], twice["until"], twice["refusals"]) == (0.5, 800.0, 2)
+    state = twice
+    for _ in range(12):
+        state = events.pace_step(state, True, 0.0, 5000.0)
+    assert (state["rate"], state["until"]) == (0.05, 900.0)
+    assert events.pace_step(twice, False, 1.0)["rate"] == 0.6 and events.pace_step({**fresh, "rate": 1.9}, False, 1.0)["rate"] == 2.0
+    rows = [("h", i, float(i), i < 2, None, 2.0) for i in range(3)] + [("k", 0, 5.0, False, 3.0, 1.0)]
+    spark.createDataFrame(rows, "host string, seq long, at double, limited boolean, asked double, base double").write.parquet(str(tmp_path / "in"))
+    stream, got = spark.readStream.schema("host string, seq long, at double, limited boolean, asked double, base double").parquet(str(tmp_path / "in")), {}
+    events.paces(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: got.update({r.host: (r.rate, r.refusals, r.until) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert got == {"h": (0.6, 0, 21.0), "k": (1.0, 0, 0.0)}
+
+
 def test_streams(spark, tmp_path):
     rows = [(i % 8, f"u{i % 3}", dt.datetime(2026, 1, 1 + i // 8, i % 8)) for i in range(24)] + [(99, "late", dt.datetime(2026, 3, 1))]
     spark.createDataFrame(rows, "event_id long, user string, ts timestamp").repartition(3).write.parquet(str(tmp_path / "in"))
