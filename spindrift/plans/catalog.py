@@ -520,7 +520,15 @@ def posting_signals(read):
     return d.select("doc_id", s["salary_min"].alias("salary_min"), s["salary_max"].alias("salary_max"), s["currency"].alias("currency"), extract.experience_years(t).alias("years"), extract.work_mode(F.col("source"), t, F.lit(None).cast("string")).alias("mode"), extract.job_type(F.col("source"), t).alias("job_type"), extract.level(t).alias("level"), extract.visa(t).alias("visa"), extract.technologies(t).alias("technologies"), classify.roles(t).alias("roles"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ' ') AS title, {_HOST} AS h, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) || '?' || regexp_extract(url, '\\?([^#]*)', 1)) AS tail FROM pages),
+c AS (SELECT *, h = '' AS no_host, regexp_matches(tail, '/salary|/salaries|/jobs-in-|/browse|/search|q=|query=|keyword=') AS blocked, regexp_matches(tail, '/salary|/salaries|/jobs-in-|/career/|/browse|/search|q=|query=|keyword=') AS push_blocked,
+regexp_matches(h, '(indeed\\.com|careerbuilder\\.com|ziprecruiter\\.com)$') AS aggregator, regexp_matches(title, '(?i)\\b(\\d[\\d,]*\\+?\\s+.+jobs\\s+hiring|salary in|jobs hiring now|job search|career salary)\\b') AS generic FROM p),
+r AS (SELECT *, list_filter([CASE WHEN no_host THEN 'invalid_apply_url' END, CASE WHEN blocked THEN 'non_job_url' END, CASE WHEN aggregator THEN 'aggregator_host' END, CASE WHEN length(title) < 4 OR generic THEN 'generic_title' END, CASE WHEN no_host THEN 'unknown_company' END], lambda x: x IS NOT NULL) AS reasons FROM c)
+SELECT page_id, CASE WHEN len(reasons) = 0 THEN 'accepted' WHEN no_host OR blocked OR aggregator OR length(title) < 4 OR generic THEN 'rejected' ELSE 'needs_review' END AS state, reasons,
+greatest(0.0, round(1.0 - CASE WHEN no_host OR blocked OR aggregator THEN 0.35 ELSE 0 END - CASE WHEN length(title) < 4 OR generic OR no_host THEN 0.25 ELSE 0 END, 2))::DOUBLE AS confidence,
+CASE WHEN no_host THEN 'invalid_url' WHEN length(title) < 4 THEN 'missing_title' WHEN generic THEN 'generic_title' WHEN push_blocked THEN 'non_job_url' WHEN aggregator THEN 'blocked_aggregator' END AS gate FROM r
+""")
 def posting_quality(read):
     """Quality state, reasons, confidence and first failed gate of pages as postings."""
     p = read("pages")
