@@ -40,7 +40,7 @@ SLACK = 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Members of a pivot's block, and of a block of signatures; two of the latter are compared in one task.
 BLOCK, CODE_BLOCK = 256, 1024
 #: Bytes of text that two blocks may have together; beyond that they are cut further.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -260,11 +260,10 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, side, component, content, text): links that join components of a group."""
+    """Rows (group, side, component, content, codes, keys, text): links that join components of a group."""
     for rows in _groups(batches, "text"):
-        sets = shingles([r[6] for r in rows])
-        winners = signatures(sets)
-        x, y, agree = _candidates(rows, winners & np.uint64(0xFFFF), band_keys(winners))
+        x, y, agree = _candidates(rows, np.stack([np.frombuffer(r[6], "<u2") for r in rows]), np.array([r[7] for r in rows]))
+        sets = shingles([r[8] for r in rows])
         up, found = {r[4]: r[4] for r in rows}, []
 
         def root(c: bytes, up: dict = up) -> bytes:
@@ -317,12 +316,12 @@ def _links(met: DataFrame, texts: DataFrame, block: int, code_block: int) -> Dat
     others = members.select("hub", each("strays").alias("i"), dealt("rows").alias("j"), F.when(F.col("stray"), 2).otherwise(1).alias("side"), "component", "content")
     rows = strays.unionByName(others).withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}).join(texts.select("content", "codes", "keys"), "content").select(*GROUP, "side", "component", "content", "codes", "keys")
     survivors = materialise(_dealt(rows, GROUP).mapInArrow(_screen, "hub binary, i long, j long, side int, component binary, content binary"), "survivors")
-    weighed = survivors.join(texts.select("content", "text"), "content")
+    weighed = survivors.join(texts, "content")
     weights = weighed.groupBy(*GROUP).agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).cast("int").alias("parts"))
     # A group of more bytes is parts x parts groups, strays dealt one way and members the other.
     cut = weighed.join(weights, GROUP).withColumn("own", F.pmod(F.xxhash64("content", F.lit(1)), F.col("parts")).cast("int")).withColumn("other", each("parts"))
     is_stray = F.col("side") == 0
-    rows = cut.select("hub", (F.col("i") * 65536 + F.when(is_stray, F.col("own")).otherwise(F.col("other"))).alias("i"), (F.col("j") * 65536 + F.when(is_stray, F.col("other")).otherwise(F.col("own"))).alias("j"), "side", "component", "content", "text")
+    rows = cut.select("hub", (F.col("i") * 65536 + F.when(is_stray, F.col("own")).otherwise(F.col("other"))).alias("i"), (F.col("j") * 65536 + F.when(is_stray, F.col("other")).otherwise(F.col("own"))).alias("j"), "side", "component", "content", "codes", "keys", "text")
     return first.unionByName(_dealt(rows, GROUP).mapInArrow(_across, "a binary, b binary"))
 
 
