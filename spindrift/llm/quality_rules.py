@@ -38,7 +38,7 @@ class Limits:
     to the band of its own length, widened by slack; a rest of less than half a chunk belongs to none.
     """
 
-    bands: tuple[tuple[int, float, float], ...] = ((64, 0.35, 1.25), (128, 0.35, 1.00), (256, 0.32, 0.88), (512, 0.28, 0.82), (1024, 0.25, 0.75), (4096, 0.22, 0.72), (16_384, 0.19, 0.70), (65_536, 0.15, 0.70))
+    bands: tuple[tuple[int, float, float], ...] = ((64, 0.40, 1.25), (128, 0.40, 1.00), (256, 0.38, 0.88), (512, 0.36, 0.82), (1024, 0.33, 0.75), (4096, 0.30, 0.72), (16_384, 0.27, 0.70), (65_536, 0.24, 0.70))
     chunk: int = 2048
     slack: float = 0.02
     most_bad_percent: int = 25

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, piece_codec, pii, quality, suffix_dedup, token_store
+from spindrift.llm import embedding_dedup, exact_dedup, filter_audit, line_dedup, minhash_dedup, packing, piece_codec, pii, quality, quality_rules, suffix_dedup, token_store, vector_codes
 from spindrift.llm.common import table
 
 
@@ -71,6 +71,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -83,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_codec": op8_piece_codec,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_compression_bands": op12_compression_bands,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -107,5 +123,45 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def _vector_sql() -> str:
+    """Four rounds over codebooks as rows (position, entry, x), then the codes."""
+    rounds, book = [], "seeds"
+    for i in range(1, 6):
+        rounds.append(f"""near{i} AS MATERIALIZED (SELECT position, row, min(struct_pack(d := d, entry := entry)) AS best FROM (SELECT p.position, p.row, b.entry,
+  list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts p JOIN {book} b USING (position)) GROUP BY ALL)""")
+        if i < 5:
+            rounds.append(f"""mean{i} AS (SELECT position, entry, list(c ORDER BY place) AS x FROM (SELECT p.position, n.best.entry AS entry, u.place, floor(sum(u.c)::DOUBLE / count(*))::BIGINT AS c
+  FROM parts p JOIN near{i} n USING (position, row), LATERAL (SELECT unnest(p.x) AS c, generate_subscripts(p.x, 1) AS place) u GROUP BY ALL) GROUP BY ALL)""")
+            rounds.append(f"book{i} AS MATERIALIZED (SELECT b.position, b.entry, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN mean{i} m USING (position, entry))")
+            book = f"book{i}"
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p AS position, list_slice(x, p * len(x) // 4 + 1, (p + 1) * len(x) // 4) AS x FROM v, range(4) t(p)),
+seeds AS MATERIALIZED (SELECT position, row AS entry, x FROM parts WHERE row < 256),
+{", ".join(rounds)},
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY position, entry)) AS codebooks_sha256 FROM {book}),
+coded AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY position) AS code, sum(best.d)::BIGINT AS error FROM near5 GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (row), books
+"""
+
+
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER + 4 * (100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 2 * length(x))::INTEGER
+  + 8 * regexp_matches(x, '[#$%&*|]')::INTEGER + 16 * (doc_id > first)::INTEGER AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM t LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, s AS step, list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INTEGER AS earlier, 1 << (ascii(filter_order[s]) - 65) AS own FROM orders, range(1, 6) r(s)),
+found AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE mask & (coalesce(earlier, 0) | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE mask & coalesce(earlier, 0) <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_SQL, "op7_exact_dedup": EXACT_SQL}
+    return {"op6_line_dedup": LINE_SQL, "op7_exact_dedup": EXACT_SQL, "op11_vector_codes": _vector_sql(), "op13_filter_audit": AUDIT_SQL}
