@@ -25,6 +25,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing will read again, wherever it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
