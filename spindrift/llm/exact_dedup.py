@@ -91,6 +91,7 @@ class Snapshot:
     digests: DataFrame
     filters: DataFrame
     n_buckets: int
+    keys_per_bucket: int
 
 
 def _bucket(n_buckets: int):
@@ -129,13 +130,19 @@ def snapshot(grouped: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> Snap
     n_buckets = max(1, -(-grouped.count() // keys_per_bucket))
     grouped = grouped.withColumn("bucket", _bucket(n_buckets))
     filters = materialise(grouped.select("bucket", "digest").groupBy("bucket").applyInPandas(_build, FILTER_SCHEMA), "fuse-filters")
-    return Snapshot(grouped, filters, n_buckets)
+    return Snapshot(grouped, filters, n_buckets, keys_per_bucket)
 
 
 def screen(grouped: DataFrame, against: Snapshot) -> DataFrame:
-    """Digests of a grouped batch that the snapshot may hold: all it does hold, and about 0.4 % of the others."""
-    batch = grouped.select(_bucket(against.n_buckets).alias("bucket"), "digest")
-    return batch.groupBy("bucket").cogroup(against.filters.groupBy("bucket")).applyInPandas(_screen, "digest binary")
+    """Digests of a grouped batch that the snapshot may hold: all it does hold, and about 0.4 % of the others.
+
+    A batch that is larger than the snapshot has more digests a bucket than a filter was built for: they are dealt over
+    salts, and each salt gets the bucket's filter.
+    """
+    salts = max(1, -(-grouped.count() // (against.n_buckets * against.keys_per_bucket)))
+    batch = grouped.select(_bucket(against.n_buckets).alias("bucket"), F.pmod(F.xxhash64(F.lit(1), "digest"), F.lit(salts)).alias("salt"), "digest")
+    filters = against.filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return batch.groupBy("bucket", "salt").cogroup(filters.groupBy("bucket", "salt")).applyInPandas(_screen, "digest binary")
 
 
 def confirm(positives: DataFrame, grouped: DataFrame, against: Snapshot, docs: DataFrame) -> DataFrame:

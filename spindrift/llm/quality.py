@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.llm.common import columns, slices
 
@@ -167,8 +168,9 @@ def held_out(doc_id: Column) -> Column:
 def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model fitted on up to per_label rows of each label and most_bytes of their texts, taken in order of a hash of the id, none held out.
 
-    Long texts are sampled like others; one that alone would pass most_bytes is left out. Null ids, texts and labels
-    are left out, a row that repeats an id, label and text counts once; without both labels every score is the same.
+    Each label has half of most_bytes; a text that doesn't fit into what is left of it is skipped, and those behind it
+    may still fit. Up to three candidates for each place are looked at. Null ids, texts and labels are left out, a row
+    that repeats an id, label and text counts once; without both labels every score is the same.
     """
     wanted = columns(labels, doc_id=doc_id, label=label).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     counts = {r.label: r["count"] for r in wanted.groupBy("label").count().collect()}
@@ -178,11 +180,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL
         # Half as many again, for ids without a text.
         part = wanted.where(F.col("label") == value).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(per_label * 3 // 2)
         some = part if some is None else some.unionByName(part)
-    texts = columns(docs, doc_id=doc_id, text=text).where(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(some), "doc_id").distinct()
-    # The sample itself is small, so its running totals may pass through one task.
-    order = Window.partitionBy("label").orderBy("at", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    taken = found.withColumn("n", F.count(F.lit(1)).over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where((F.col("n") <= per_label) & (F.col("bytes") <= most_bytes // 2))
+    texts = columns(docs, doc_id=doc_id, text=text).select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash")).where(F.col("size") <= most_bytes // 2)
+    sized = texts.drop("text").join(F.broadcast(some), "doc_id").select("label", "at", "doc_id", "size", "hash").distinct()
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("at", "doc_id", "size", "hash"))
+    chosen, taken, used = [], {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sorted(sized.withColumn("n", nth).where(F.col("n") <= 3 * per_label).drop("n").collect()):
+        if taken[r.label] < per_label and used[r.label] + r["size"] <= most_bytes // 2:
+            taken[r.label], used[r.label] = taken[r.label] + 1, used[r.label] + r["size"]
+            chosen.append(tuple(r))
+    sample = docs.sparkSession.createDataFrame(chosen, T.StructType([sized.schema[c] for c in sized.columns]))
+    taken = texts.join(F.broadcast(sample), ["doc_id", "size", "hash"]).distinct()
     rows = sorted(taken.select("label", "at", "doc_id", "text").collect())
     return fit([r.text.encode() for r in rows], [r.label for r in rows], odds)
 

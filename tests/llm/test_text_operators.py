@@ -88,6 +88,19 @@ def test_exact_dedup(spark, edge, empty):
     assert exact_dedup.exact_groups(empty, empty).count() == 0
 
 
+def test_a_batch_far_larger_than_its_snapshot(spark, monkeypatch):
+    """One row far below the others is the whole snapshot; no group of the screen gets more digests than a bucket holds."""
+    rows = [(0, "old"), *[(10**12 + i, f"own {i % 700}") for i in range(1500)], (10**12 + 1500, "OLD")]
+    pandas_cogroup = type(spark.range(1).groupBy("id").cogroup(spark.range(1).groupBy("id")))
+    apply = pandas_cogroup.applyInPandas
+    monkeypatch.setattr(pandas_cogroup, "applyInPandas", lambda self, f, schema: apply(self, lambda batch, filters: f(batch, filters) if len(batch) <= 150 else 1 / 0, schema))
+    got = exact_dedup.exact_groups(*exact_dedup.halves(docs(spark, rows)), keys_per_bucket=100).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t.lower()].append(i)
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: (max(groups[t.lower()]), len(groups[t.lower()])) for i, t in rows}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -163,6 +176,16 @@ def test_suffix_dedup(spark, limits):
     assert got == repeats(rows)
 
 
+def test_suffix_dedup_of_ids_over_all_64_bits(spark):
+    rnd = random.Random(12)
+    passage = " ".join(str(rnd.random()) for _ in range(20))
+    for ids in ([-9 * 10**18, -1, 0, 9 * 10**18], [0, 10**12, 10**12 + 1, 10**12 + 2], [-(2**63), 2**63 - 1, 5, 6]):
+        rows = [(i, f"{i} own {rnd.random()}\n{passage}") for i in ids]
+        rnd.shuffle(rows)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs(spark, rows), shard_bytes=300).collect()}
+        assert got == repeats(sorted(rows)) and sum(x[1] for x in got.values()) > 3 * len(passage) - 1
+
+
 def test_suffix_dedup_edges(edge, empty):
     got = suffix_dedup.remove_repeats(edge).collect()
     assert len(got) == len(EDGE) and {(r.doc_id, r.n_removed) for r in got if r.doc_id != 5} == {(None, 0), (1, 0), (2, 0), (3, 0), (4, 0)}

@@ -341,6 +341,24 @@ def test_long_labelled_texts_are_sampled(spark):
     assert max(taken) > 20_000
 
 
+def test_a_text_that_does_not_fit_costs_no_other(spark):
+    """Whatever its place in the order of ids, a text over the half or between what is left and the half is skipped alone."""
+    rows = [(i, "good words here " * 20 if i % 2 else "b@d | " * 40) for i in range(60)] + [(100 + i, ("x" * n)) for i, n in enumerate((70_000, 70_000, 49_900, 49_900))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    held, seen = quality.fit, []
+    quality.fit = lambda texts, labels, odds: seen.extend(zip(labels, map(len, texts), strict=True)) or quality.new_model()
+    try:
+        quality.fit_on(docs, marks, most_bytes=100_000)
+    finally:
+        quality.fit = held
+    free = [i for i, _ in rows[:60] if zlib.crc32(str(i).encode()) % 5]
+    for label in (0, 1):
+        sizes = [n for y, n in seen if y == label]
+        assert max(sizes) <= 49_900 and sum(sizes) <= 50_000 and (len(sizes) >= sum(i % 2 == label for i in free) or 49_900 in sizes)
+    assert len(seen) > 20
+
+
 def test_chunks_cover_the_whole_text():
     model = quality.new_model()
     for n in (0, 1, 7, 8, 9, 255, 256, 600, 300_000, quality.SLICE + 3):
