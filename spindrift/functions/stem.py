@@ -25,15 +25,28 @@ VOWELS, LI_BEFORE = "aeiouy", "cdeghkmnrt"
 
 _REGION = re.compile("[aeiouy][^aeiouy]")
 _VOWEL = re.compile("[aeiouy]")
+_Y = re.compile("([aeiouy])y")
 _PAST = re.compile("(?:edly|ingly|ed|ing)$")
 _SHORT_END = re.compile("(?:^|[^aeiouy])[aeiouy][^aeiouywxY]$")
 _SHORT_START = re.compile("^[aeiouy][^aeiouy]$")
 
 
+def _by_tail(step) -> dict[str, tuple]:
+    """A step's endings by their last two letters, longest first."""
+    tails = sorted({ending[-2:] for ending, *_ in step})
+    return {t: tuple(x for x in step if x[0].endswith(t)) for t in tails}
+
+
+_SECOND, _THIRD, _FOURTH = _by_tail(SECOND), _by_tail(THIRD), _by_tail([(ending, "") for ending in FOURTH])
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+
+
 def _regions(word: str) -> tuple[int, int]:
     """Where the regions R1 and R2 begin."""
-    whole = next((p for p in WHOLE if word.startswith(p)), None)
-    first = len(whole) if whole else m.end() if (m := _REGION.search(word)) else len(word)
+    if word.startswith(WHOLE):
+        first = next(len(p) for p in WHOLE if word.startswith(p))
+    else:
+        first = m.end() if (m := _REGION.search(word)) else len(word)
     second = m.end() if (m := _REGION.search(word, first)) else len(word)
     return first, second
 
@@ -53,6 +66,8 @@ def _plural(word: str) -> str:
 
 
 def _past(word: str, first: int) -> str:
+    if not word.endswith(("ed", "ing", "ly")):
+        return word
     if word.endswith(("eed", "eedly")):
         at = len(word) - (3 if word.endswith("eed") else 5)
         return word[: at + 2] if at >= first else word
@@ -62,26 +77,26 @@ def _past(word: str, first: int) -> str:
     word = word[: found.start()]
     if word.endswith(("at", "bl", "iz")):
         return word + "e"
-    if word.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+    if word.endswith(_DOUBLES):
         return word[:-1]
     return word + "e" if first >= len(word) and _ends_short(word) else word
 
 
 def _replace(word: str, first: int, second: int) -> str:
     """The second, third and fourth step."""
-    for ending, instead in SECOND:
+    for ending, instead in _SECOND.get(word[-2:], ()):
         if word.endswith(ending):
             at = len(word) - len(ending)
             if at >= first and (ending != "ogi" or word[at - 1 : at] == "l") and (ending != "li" or word[at - 1 : at] in tuple(LI_BEFORE)):
                 word = word[:at] + instead
             break
-    for ending, instead in THIRD:
+    for ending, instead in _THIRD.get(word[-2:], ()):
         if word.endswith(ending):
             at = len(word) - len(ending)
             if at >= (second if ending == "ative" else first):
                 word = word[:at] + instead
             break
-    for ending in FOURTH:
+    for ending, _ in _FOURTH.get(word[-2:], ()):
         if word.endswith(ending):
             at = len(word) - len(ending)
             if at >= second and (ending != "ion" or word[at - 1 : at] in ("s", "t")):
@@ -90,14 +105,15 @@ def _replace(word: str, first: int, second: int) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """The stem of a lower-case word without apostrophes; words of other alphabets keep their letters."""
     if len(word) < 3 or word in UNCHANGED:
         return word
     if word in IRREGULAR:
         return IRREGULAR[word]
-    word = re.sub("([aeiouy])y", r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    if "y" in word:
+        word = _Y.sub(r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
     first, second = _regions(word)
     word = _plural(word)
     if word in SETTLED:

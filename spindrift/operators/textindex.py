@@ -1,6 +1,6 @@
 """Full-text search over an inverted index: English stems, web-style queries, phrases and a weighted rank.
 
-The index is a Parquet folder: postings (a row for each stem of a document with all its places) in folders of buckets,
+The index is a Parquet folder: postings (a stem's documents with all its places, in blocks) in folders of buckets,
 sorted by stem inside, and the documents themselves. A search names its stems' buckets, so the scan reads those folders
 alone and skips row groups of other stems; everything after works on the documents that hold one of them. A frequent
 stem's postings are split over files and tasks when written, and meet by document, not by stem, when searched.
@@ -15,10 +15,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spindrift.functions.stem import ENGLISH_STOPS, stem
 from spindrift.scratch import exists
@@ -26,6 +26,8 @@ from spindrift.scratch import exists
 #: Weights of the fields A to D.
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
 BUCKETS = 64
+#: Bytes of text that a task turns into postings at a time.
+PIECE = 8 << 20
 #: Places further apart than this add next to nothing to a rank of words together; how little, and the sum of 1/n**2.
 FAR, FAR_SHARE, SERIES = 100, 1e-30, 1.64493406685
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -59,33 +61,75 @@ def parse_query(text: str) -> list[list[Phrase]]:
     return [group for group in out if group]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose fields hold about PIECE bytes."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+    ends, at = np.cumsum(sizes + 64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _words(field: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, position from 1, stem number or -1 for a stop word) of a field's words, and the stems."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(field, "")), pattern=r"[^\p{L}\p{M}\p{N}]+")
+    rows, words = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), lists.flatten()
+    held = pc.greater(pc.binary_length(words), 0)
+    rows, words = rows[held.to_numpy(zero_copy_only=False)], words.filter(held).dictionary_encode()
+    starts = np.searchsorted(rows, rows)
+    stems: dict[str, int] = {}
+    kinds = np.array([-1 if w in _STOPS else stems.setdefault(stem(w), len(stems)) for w in words.dictionary.to_pylist()], np.int64)
+    return rows, np.arange(1, len(rows) + 1) - starts, kinds[words.indices.to_numpy()] if len(rows) else np.zeros(0, np.int64), list(stems)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, term, places) of batches whose first column is the document and whose others are its fields; a place is 4 * position + field.
+    """Blocks (term, docs, counts, places) of batches whose first column is the document and whose others are its fields.
 
-    Positions of a field follow those of the one before.
+    A block holds the documents of a stem in a few megabytes of text: how many places each has, and the places, which are
+    4 * position + field. Positions of a field follow those of the one before.
     """
     for batch in batches:
-        docs, terms, places = [], [], []
-        for at, fields in enumerate(zip(*[batch.column(i).to_pylist() for i in range(1, batch.num_columns)], strict=True)):
-            held: dict[str, list[int]] = {}
-            start = 0
-            for field, text in enumerate(fields):
-                last = 0
-                for term, place in stems_of(text or ""):
-                    held.setdefault(term, []).append(4 * (start + place) + field)
-                    last = place
+        for piece in _pieces(batch):
+            terms: dict[str, int] = {}
+            found, start = [], np.zeros(piece.num_rows, np.int64)
+            for field in range(piece.num_columns - 1):
+                rows, positions, kinds, stems = _words(piece.column(field + 1))
+                keep = kinds >= 0
+                rows, positions = rows[keep], positions[keep]
+                own = np.array([terms.setdefault(s, len(terms)) for s in stems] or [0], np.int64)
+                found.append((own[kinds[keep]], rows, 4 * (start[rows] + positions) + field))
+                last = np.zeros(piece.num_rows, np.int64)
+                np.maximum.at(last, rows, positions)
                 start += last
-            docs += [at] * len(held)
-            terms += held
-            places += held.values()
-            if len(terms) > 100_000:
-                yield _rows(batch, docs, terms, places)
-                docs, terms, places = [], [], []
-        yield _rows(batch, docs, terms, places)
-
-
-def _rows(batch: pa.RecordBatch, docs: list[int], terms: list[str], places: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["doc", "term", "places"])
+            term, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(term):
+                continue
+            order = np.lexsort((place, row, term))
+            term, row, place = term[order], row[order], place[order]
+            posting = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])]))
+            block = np.flatnonzero(np.concatenate([[True], term[posting][1:] != term[posting][:-1]]))
+            counts = np.diff(np.append(posting, len(term))).astype(np.int32)
+            ends = pa.array(np.append(block, len(posting)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(terms), pa.string()).take(pa.array(term[posting][block])),
+                    pa.ListArray.from_arrays(ends, piece.column(0).take(pa.array(row[posting]))),
+                    pa.ListArray.from_arrays(ends, pa.array(counts)),
+                    pa.ListArray.from_arrays(pa.array(np.append(posting[block], len(term)).astype(np.int32)), pa.array(place.astype(np.int32))),
+                ],
+                names=["term", "docs", "counts", "places"],
+            )
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, term, places, write), a row for each posting of blocks."""
+    for batch in batches:
+        docs, counts = batch["docs"], batch["counts"].flatten().to_numpy(zero_copy_only=False)
+        of = pc.list_parent_indices(docs)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        places = pa.ListArray.from_arrays(ends, batch["places"].flatten())
+        yield pa.RecordBatch.from_arrays([docs.flatten(), batch["term"].take(of), places, batch["write"].take(of)], names=["doc", "term", "places", "write"])
 
 
 def _bucket(term: Column) -> Column:
@@ -107,9 +151,9 @@ class Index:
         if not 1 <= len(fields) <= len(WEIGHTS):
             raise ValueError("one to four fields")
         rows = docs.select(F.col(ident).alias("doc"), *[f.cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).where("doc IS NOT NULL")
-        schema = T.StructType([rows.schema["doc"], T.StructField("term", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
-        dealt = rows.mapInArrow(_postings, schema).withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket")
-        dealt.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{self.path}/postings/write={self.writes}")
+        blocks = f"term string, docs array<{rows.schema['doc'].dataType.simpleString()}>, counts array<int>, places array<int>"
+        dealt = rows.mapInArrow(_postings, blocks).withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket")
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/write={self.writes}")
         rows.select("doc").write.parquet(f"{self.path}/documents/write={self.writes}")
         return Index(self.path, self.writes + 1)
 
@@ -123,10 +167,12 @@ class Index:
         buckets = spark.sql("SELECT array_distinct(transform(:terms, t -> pmod(xxhash64(t), :n)))", args={"terms": terms, "n": BUCKETS}).first()[0]
         paths = [f"{self.path}/postings/write={w}/bucket={b}" for w in range(self.writes) for b in buckets]
         paths = [p for p in paths if exists(spark, p)]
-        schema = f"doc {dict(spark.read.parquet(f'{self.path}/documents').dtypes)['doc']}, term string, places array<int>, write int"
+        kind = dict(spark.read.parquet(f"{self.path}/documents").dtypes)["doc"]
+        rows = f"doc {kind}, term string, places array<int>, write int"
         if not paths:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths).where(F.col("term").isin(terms))
+            return spark.createDataFrame([], rows)
+        found = spark.read.schema(f"term string, docs array<{kind}>, counts array<int>, places array<int>, write int").option("basePath", f"{self.path}/postings").parquet(*paths)
+        return found.where(F.col("term").isin(terms)).mapInArrow(_unpacked, rows)
 
 
 def phrase_at(places: list[np.ndarray], stems: tuple[tuple[str, int], ...], order: dict[str, int]) -> bool:
