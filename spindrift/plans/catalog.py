@@ -548,7 +548,7 @@ def url_targets(read):
     return p.select("page_id", t["platform"].alias("platform"), t["slug"].alias("slug"), urls.without_tracking(F.col("url")).alias("clean_url"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over events to its end into a table of the shared folder, and read that."""
     path = scratch_path(spark, name)
     source = f"{sf_dir}/events.parquet"
@@ -561,12 +561,12 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataF
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrive twice, each kept once."""
-    return _streamed(spark, sf_dir, "stream-dedup", lambda s: events.distinct(s.unionByName(s), ["event_id"]).select("event_id", "user_id", "event_type"))
+    return streamed(spark, sf_dir, "stream-dedup", lambda s: events.distinct(s.unionByName(s), ["event_id"]).select("event_id", "user_id", "event_type"))
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows that the watermark has closed."""
-    return _streamed(spark, sf_dir, "stream-days", lambda s: events.tumbling_counts(s, ["event_type"]).select(F.col("start").cast("date").alias("day"), "event_type", "n"))
+    return streamed(spark, sf_dir, "stream-days", lambda s: events.tumbling_counts(s, ["event_type"]).select(F.col("start").cast("date").alias("day"), "event_type", "n"))
 
 
 QUERIES |= {"stream_dedup": stream_dedup, "stream_daily_counts": stream_daily_counts}
