@@ -28,13 +28,28 @@ INFRASTRUCTURE = ("rate_limited", "anti_bot", "timeout", "connection")
 
 
 def platform_health(runs: DataFrame, summary: str = "summary_json") -> DataFrame:
-    """Sums and rates by platform over JSON run summaries; rates are null without attempts, unreadable summaries are skipped."""
-    parsed = runs.select(F.from_json(summary, RUN_SUMMARY).alias("s")).where(F.col("s").isNotNull())
-    sums = parsed.select(F.explode("s.platforms").alias("platform", "p")).groupBy("platform").agg(*[F.sum(F.coalesce(f"p.{c}", F.lit(0))).alias(c) for c in ("attempted", "succeeded", "failed", "jobs_fetched")])
-    kinds = parsed.select(F.explode("s.failure_breakdown").alias("platform", "m")).select("platform", F.explode("m").alias("kind", "n"))
-    kinds = kinds.groupBy("platform").agg(F.sum(F.when(F.col("kind").isin(*INFRASTRUCTURE), F.col("n")).otherwise(0)).alias("infra"))
+    """Sums and rates by platform over JSON run summaries; rates are null without attempts, unreadable summaries are skipped.
+
+    A summary is parsed once and becomes a row a platform and a row a platform's failures; platforms that only have
+    failures are left out.
+    """
+    counts = ("attempted", "succeeded", "failed", "jobs_fetched")
+    zero = F.lit(0).cast("long")
+
+    def entry(platform: Column, of: Column | None, infra: Column) -> Column:
+        return F.struct(platform.alias("platform"), F.lit(of is not None).alias("run"), *[(zero if of is None else F.coalesce(of[c], zero)).alias(c) for c in counts], infra.alias("infra"))
+
+    def infrastructure(kinds: Column) -> Column:
+        ours = F.map_values(F.map_filter(kinds, lambda k, n: k.isin(*INFRASTRUCTURE)))
+        return F.aggregate(F.coalesce(ours, F.array().cast("array<bigint>")), zero, lambda a, n: a + F.coalesce(n, zero))
+
+    platforms = F.transform(F.map_entries("s.platforms"), lambda e: entry(e["key"], e["value"], zero))
+    failures = F.transform(F.map_entries("s.failure_breakdown"), lambda e: entry(e["key"], None, infrastructure(e["value"])))
+    parsed = runs.select(F.from_json(summary, RUN_SUMMARY).alias("s"))  # an unreadable summary has no items
+    items = parsed.select(F.explode(F.array(platforms, failures)).alias("some")).select(F.inline("some"))
+    sums = items.groupBy("platform").agg(F.max("run").alias("run"), *[F.sum(c).alias(c) for c in (*counts, "infra")]).where("run")
     rate = lambda c: F.bround(c / F.nullif(F.col("attempted"), F.lit(0)), 4)
-    return sums.join(kinds, "platform", "left").select("platform", "attempted", "succeeded", "failed", "jobs_fetched", rate(F.col("succeeded")).alias("success_rate"), rate(F.col("failed")).alias("error_rate"), rate(F.coalesce("infra", F.lit(0))).alias("infra_rate"))
+    return sums.select("platform", "attempted", "succeeded", "failed", "jobs_fetched", rate(F.col("succeeded")).alias("success_rate"), rate(F.col("failed")).alias("error_rate"), rate(F.col("infra")).alias("infra_rate"))
 
 
 def run_health(runs: DataFrame, scraper: str = "scraper", new: str = "jobs_new", seconds: str = "duration_seconds", failed: str = "failed") -> DataFrame:

@@ -44,9 +44,13 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], *, replace:
     return joined.select(*out, (~seen_old).alias("is_new"))
 
 
-def stale(current: DataFrame, latest: DataFrame, key: str, scope: list[str]) -> DataFrame:
-    """Rows in the scopes that were fetched but not in the latest fetch."""
-    return current.join(latest.select(*scope).distinct(), scope, "left_semi").join(latest.select(key), key, "left_anti")
+def stale(current: DataFrame, latest: DataFrame, key: str, scope: list[str], fetched: DataFrame | None = None) -> DataFrame:
+    """Rows in the scopes that were fetched but, by scope and key, not in the latest fetch.
+
+    fetched lists the scopes, those that came back empty too; without it a scope counts as fetched if it has a row.
+    """
+    scopes = (latest if fetched is None else fetched).select(*scope).distinct()
+    return current.join(scopes, scope, "left_semi").join(latest.select(*scope, key), [*scope, key], "left_anti")
 
 
 def compare(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import feeds, rollups, similar, tables
-from spindrift.plans.catalog import probe, query, ts
+from spindrift.operators import feeds, rollups, similar, sketches, tables
+from spindrift.plans.catalog import QUERIES, SQL, probe, query, table, ts
+from spindrift.scratch import materialise
+from spindrift.sources.footers import footer_bounds
 
 #: Orders as postings: what the queries below read, in SQL.
 _JOBS = """
@@ -235,3 +237,52 @@ def stale_rows(read):
     lines = read("lineitem").select("l_orderkey", "l_shipdate").join(read("orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").withColumn("all", F.lit(1))
     latest = read("lineitem").where(F.col("l_returnflag") == "N").select("l_orderkey", F.lit(1).alias("all"))
     return tables.stale(lines, latest, "l_orderkey", ["all"]).groupBy(F.col("l_shipdate").cast("date").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH l AS (SELECT l_linenumber AS board, l_partkey % 500 AS k, max(l_shipdate) AS seen, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+latest AS (SELECT board, k FROM l WHERE seen >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 60 DAY AND board <> 3),
+fetched AS (SELECT DISTINCT board FROM l WHERE board <> 5)
+SELECT board::INTEGER AS board, k FROM l WHERE board IN (SELECT board FROM fetched) AND NOT EXISTS (SELECT 1 FROM latest t WHERE t.board = l.board AND t.k = l.k)
+""")
+def stale_by_board(read):
+    """Ids that boards share: what each fetched board lost; one board came back empty, one was not fetched."""
+    lines = read("lineitem").select(F.col("l_linenumber").alias("board"), (F.col("l_partkey") % 500).alias("k"), "l_shipdate")
+    since = lines.agg(F.max("l_shipdate") - F.expr("INTERVAL 60 DAYS")).first()[0]
+    current = lines.groupBy("board", "k").agg(F.max("l_shipdate").alias("seen"))
+    latest = current.where((F.col("seen") >= F.lit(since)) & (F.col("board") != 3)).select("board", "k")
+    fetched = current.where(F.col("board") != 5).select("board").distinct()
+    return tables.stale(current, latest, "k", ["board"], fetched).select("board", "k")
+
+
+@query("""
+SELECT event_type, count(*) AS n, true AS users_near, true AS median_near FROM events WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY 1
+""")
+def sketched_stats(read):
+    """Counts by kind of event from stored daily sketches, and whether distinct users and medians are as near as the sketches promise."""
+    rows = read("events").select(F.col("ts").cast("date").alias("d"), "event_type", "user_id", "value")
+    days = materialise(sketches.daily(rows, F.col("d"), ["event_type"], {"users": F.col("user_id")}, {"value": F.col("value")}), "daily-sketches")
+    since = F.lit("2024-01-08").cast("date")
+    asked = sketches.merged(days.where(F.col("day") >= since), ["event_type"], ["users"], {"median": ("value", 0.5)})
+    exact = rows.where(F.col("d") >= since).join(F.broadcast(asked), "event_type").groupBy("event_type", "n", "users", "median")
+    exact = exact.agg(F.count_distinct("user_id").alias("real"), F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("upto"))
+    near = (F.col("below") <= 0.5 + 0.02) & (F.col("upto") >= 0.5 - 0.02)
+    return exact.select("event_type", "n", (F.abs(F.col("users") - F.col("real")) <= 0.03 * F.col("real") + 1).alias("users_near"), near.alias("median_near"))
+
+
+_COUNTED = {"documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"], "labels": ["doc_id", "quality"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_quantity"], "events": ["event_id", "value"]}
+
+
+def table_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and bounds of two columns of each table, from footers alone."""
+    out = None
+    for name, columns in _COUNTED.items():
+        one = footer_bounds(spark, f"{sf_dir}/{name}.parquet", columns)
+        numbers = [F.col(f"{end}_{c}").cast("double").alias(f"{end}_{i}") for i, c in enumerate(columns) for end in ("least", "most")]
+        one = one.select(F.lit(name).alias("name"), "n", *numbers)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES["table_bounds"] = table_bounds
+SQL["table_bounds"] = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, {', '.join(f'{f}({c})::DOUBLE AS {n}_{i}' for i, c in enumerate(cs) for n, f in (('least', 'min'), ('most', 'max')))} FROM {t}" for t, cs in _COUNTED.items())
