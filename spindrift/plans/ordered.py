@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import fold
 from spindrift.plans.catalog import QUERIES, SQL, query, streamed
+from spindrift.scratch import scratch_path
 from spindrift.streaming import timers
+from spindrift.streaming.events import read_stream, run_available
+from spindrift.streaming.ledger import Ledger
 
 
 @query("""
@@ -59,8 +63,22 @@ def stream_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(spark, sf_dir, "stream-breakers", flow)
 
 
-QUERIES |= {"stream_retries": stream_retries, "stream_breakers": stream_breakers}
+def stream_posted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first event of a kind, posted once by a sink with a ledger; the stream is run twice."""
+    path = scratch_path(spark, "stream-posts")
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    schema = source.schema.simpleString()[7:-1].replace(":", " ")
+    post = Ledger(f"{path}/ledger").sink(F.concat_ws(":", "user_id", "event_type"), [F.col("ts"), F.col("event_id")], time.time)
+    for _ in range(2):
+        stream = read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+        run_available(stream, post, f"{path}/state")
+    found = Ledger(f"{path}/ledger").posted(spark, stream.schema.simpleString()[7:-1].replace(":", " "))
+    return found.select("event_id", "user_id", "event_type")
+
+
+QUERIES |= {"stream_posted_once": stream_posted_once, "stream_retries": stream_retries, "stream_breakers": stream_breakers}
 SQL |= {
+    "stream_posted_once": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1",
     "stream_retries": """
 WITH e AS (SELECT user_id::VARCHAR AS target, epoch_us(ts) // 1000 AS at_, event_id, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'purchase')),
 g AS (SELECT *, count(*) FILTER (WHERE NOT failed) OVER w AS streak, lead(at_) OVER w AS next FROM e WINDOW w AS (PARTITION BY target ORDER BY at_, event_id)),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import extract, text
 from spindrift.operators import schedule, search, tables
+from spindrift.operators.versions import VersionedTable
 from spindrift.plans.catalog import query, ts
+from spindrift.scratch import scratch_path
 from spindrift.streaming import events
 
 NOW = "2001-07-15"
@@ -154,3 +156,18 @@ def targets_to_visit(read):
     targets = read("customer").select(F.col("c_custkey").alias("slug"), F.col("c_mktsegment").alias("ats"))
     state = state.join(targets, "slug")
     return events.needs_visit(targets, state, F.lit(NOW).cast("timestamp"), {"BUILDING": 7_776_000, "MACHINERY": 2_592_000}, 31_536_000)
+
+
+@query(f"""
+WITH t AS ({_TARGETS}), due AS (SELECT slug, row_number() OVER (ORDER BY CASE WHEN next_due_at <= TIMESTAMP '{NOW}' - INTERVAL 14 DAY THEN 0 ELSE 1 END, tier, scrape_score DESC, next_due_at NULLS FIRST, slug) AS r
+FROM t WHERE NOT is_dead AND (lease_until IS NULL OR lease_until < TIMESTAMP '{NOW}') AND (next_due_at IS NULL OR next_due_at <= TIMESTAMP '{NOW}'))
+SELECT slug, CASE WHEN r <= 150 THEN 'first' ELSE 'second' END AS lease_owner FROM due WHERE r <= 300
+""")
+def exclusive_claims(read):
+    """Two workers claim 150 targets each from a versioned table: what either holds in the end."""
+    targets = _targets(read)
+    table = VersionedTable(targets.sparkSession, scratch_path(targets.sparkSession, "targets"))
+    table.commit(targets, -1)
+    for owner in ("first", "second"):
+        table.change(lambda t, owner=owner: schedule.claim(t.drop("claimed"), owner, ts(NOW), 30, 150))
+    return table.read().where(F.col("lease_owner").isin("first", "second")).select("slug", "lease_owner")
