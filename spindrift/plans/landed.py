@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import urls
 from spindrift.plans.catalog import query
-from spindrift.sources import boards, registry
+from spindrift.sources import boards, registry, scripts
 
 _PLATFORMS = ("greenhouse", "lever", "smartrecruiters", "hiringcafe", "yc-startup")
 
@@ -98,3 +98,28 @@ def discovered_slugs(read):
     url = F.when(k == 0, F.concat(F.lit("https://Boards.Greenhouse.io/"), b, F.lit("/jobs/1"))).when(k == 1, F.concat(F.lit("https://jobs.lever.co/"), b, F.lit("-X?a=1"))).when(k == 2, F.concat(F.lit("https://"), b, F.lit(".wd5.myworkdayjobs.com/a"))).otherwise("https://jobs.lever.co/careers")
     ats = F.when(k == 0, "greenhouse").when(k == 2, "workday").otherwise("lever")
     return read("part").select("p_partkey", urls.discovered(url, ats).alias("slug"))
+
+
+def _startup_pages(read) -> DataFrame:
+    """The given pages with a card set into their text, or with the page's own payload at their end."""
+    k, html = F.col("page_id"), F.col("html")
+    card = F.concat(F.lit('<div data-company-name="'), F.initcap(F.substring("url", 9, 6)), F.lit(' &amp; Co"><p>x</p><a class="c" href="/jobs/'), k, F.lit('"> <b>Engineer</b> '), F.substring(F.md5("url"), 1, 5), F.lit(' </a><span class="job-location">'), F.when(k % 3 == 0, "Remote (US)").otherwise(F.concat(F.lit("Town "), k % 17)), F.lit("</span></div>"))
+    job = F.to_json(F.struct(k.alias("id"), F.concat(F.lit("Analyst {"), F.substring(F.md5("url"), 1, 5), F.lit('} "x"')).alias("title"), F.struct(F.concat(F.lit("Firm "), k % 9).alias("name")).alias("company"), F.lit("Town").alias("location"), F.lit("2024-01-02").alias("created_at")))
+    payload = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"jobs": ['), job, F.lit("]}}};</script>"))
+    half = (F.length(html) / 2).cast("int")
+    return read("pages").select("page_id", F.when(k % 2 == 0, F.concat(F.substring(html, F.lit(1), half), card, F.substring(html, half + 1, F.length(html)))).otherwise(F.concat(html, payload)).alias("html"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN substr(html, 1, (length(html) // 2)::BIGINT) || '<div data-company-name="' || upper(substr(url, 9, 1)) || lower(substr(url, 10, 5)) || ' &amp; Co"><p>x</p><a class="c" href="/jobs/' || page_id || '"> <b>Engineer</b> ' || substr(md5(url), 1, 5) || ' </a><span class="job-location">' || CASE WHEN page_id % 3 = 0 THEN 'Remote (US)' ELSE 'Town ' || page_id % 17 END || '</span></div>' || substr(html, (length(html) // 2)::BIGINT + 1)
+  ELSE html || '{"id":' || page_id || ',"title":"Analyst {' || substr(md5(url), 1, 5) || '} \"x\"","company":{"name":"Firm ' || page_id % 9 || '"},"location":"Town"}' END AS h FROM pages),
+c AS (SELECT page_id, h, regexp_extract(h, '(?s)<a[^>]+href="/jobs/\d+"[^>]*>.*?</a>') AS a, regexp_extract(h, '\{"id":\d+.*\}$') AS j FROM p),
+n AS (SELECT page_id, a, j, substr(h, greatest(1, instr(h, a) - 600), instr(h, a) - greatest(1, instr(h, a) - 600) + length(a) + 600) AS near FROM c)
+SELECT 'yc_' || coalesce(nullif(regexp_extract(a, '/jobs/(\d+)', 1), ''), json_extract_string(j, '$.id')) AS job_id,
+CASE WHEN a <> '' THEN trim(regexp_replace(regexp_replace(regexp_extract(a, '(?s)>(.*)</a>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) ELSE json_extract_string(j, '$.title') END AS title,
+CASE WHEN a <> '' THEN replace(regexp_extract(near, 'data-company-name="([^"]+)"', 1), '&amp;', '&') ELSE json_extract_string(j, '$.company.name') END AS company,
+CASE WHEN a <> '' THEN CASE WHEN regexp_matches(regexp_extract(near, 'class="job-location">([^<]+)<', 1), '(?i)\bremote\b') THEN 'Remote' ELSE regexp_extract(near, 'class="job-location">([^<]+)<', 1) END ELSE json_extract_string(j, '$.location') END AS location FROM n
+""")
+def startup_pages(read):
+    """Postings of cards and of payloads that are set into the given pages."""
+    return scripts.startup_postings(_startup_pages(read)).select("job_id", "title", "company", "location")
