@@ -60,6 +60,25 @@ def target(url: Column) -> Column:
     return bound(platform(url), named)
 
 
+#: What in a page's text shows the board it embeds, and where the company stands, if it does.
+CONTENT = (
+    ("greenhouse", (r"greenhouse\.io/embed/job_board/(?:js/)?(\w+)", r'data-greenhouse-board="(\w+)"')),
+    ("lever", (r"jobs\.lever\.co/([\w-]+)", r"api\.lever\.co/v0/postings/([\w-]+)")),
+    ("workable", (r"apply\.workable\.com/([\w-]+)", r"workable\.com/widget/job_board()")),
+    ("ashby", (r"jobs\.ashbyhq\.com/([\w-]+)",)),
+    ("workday", (r"myworkdayjobs\.com()",)),
+    ("rippling", (r"ats\.rippling\.com/([\w-]+)",)),
+    ("smartrecruiters", (r"smartrecruiters\.com()",)),
+)
+
+
+def page_target(html: Column) -> Column:
+    """(platform, slug) of the board that a page embeds, by the first pattern of the list that its text holds; both null without one, slug null where the pattern shows none."""
+    found = [F.when(html.rlike(p), F.struct(F.lit(name).alias("platform"), F.nullif(F.regexp_extract(html, p, 1), F.lit("")).alias("slug"))) for name, patterns in CONTENT for p in patterns]
+    none = F.struct(F.lit(None).cast("string").alias("platform"), F.lit(None).cast("string").alias("slug"))
+    return F.coalesce(*found, none)
+
+
 def links(text: Column) -> Column:
     """Distinct addresses in a text."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"https?://[^\s\"'<>)\]]+"), F.lit(0)))

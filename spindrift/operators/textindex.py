@@ -146,7 +146,8 @@ class Index:
     def add(self, docs: DataFrame, ident: str, fields: list[Column]) -> Index:
         """The index after documents (ident and up to four fields, the weightiest first) are written to it, new or anew.
 
-        Null fields are empty, a document of no words is found by exclusions alone, null idents are left out.
+        Null fields are empty, a document of no words is found by exclusions alone, null idents are left out. Idents are
+        unique within a write.
         """
         if not 1 <= len(fields) <= len(WEIGHTS):
             raise ValueError("one to four fields")

@@ -170,7 +170,8 @@ def search_many(queries: DataFrame, index: VectorIndex, ident: str, vector: str,
 
     Two rounds: each query against its nearest cells, then against those whose bound reaches its k-th similarity so
     far. Cells are multiplied in blocks of members and queries, a block a task at a time, and each block sends on k rows a
-    query. With cells the number of cells that each query read comes too.
+    query. With cells the number of cells that each query read comes too. Ids of queries are unique; a query without a
+    direction (null, zero, other lengths, non-finite) finds nothing.
     """
     dims, spark = index.centroids.shape[1], queries.sparkSession
     read = queries.select(F.col(ident).alias("query"), F.col(vector).alias("vector"))

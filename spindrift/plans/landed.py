@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import urls
 from spindrift.plans.catalog import query
-from spindrift.sources import boards, registry, scripts
+from spindrift.sources import boards, pages, registry, scripts
 
 _PLATFORMS = ("greenhouse", "lever", "smartrecruiters", "hiringcafe", "yc-startup")
 
@@ -123,3 +123,19 @@ CASE WHEN a <> '' THEN CASE WHEN regexp_matches(regexp_extract(near, 'class="job
 def startup_pages(read):
     """Postings of cards and of payloads that are set into the given pages."""
     return scripts.startup_postings(_startup_pages(read)).select("job_id", "title", "company", "location")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, trim(regexp_extract(text, '^[^\n]*'), ' ') AS t FROM documents),
+k AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(t, '. ', ' | ') WHEN 1 THEN replace(t, ', ', ' – ') WHEN 2 THEN replace(t, ' the ', ' at ') WHEN 3 THEN replace(t, ' of ', ': ') ELSE t END AS t FROM l)
+SELECT doc_id, CASE WHEN contains(t, '|') THEN trim(split_part(t, '|', 1), ' ') WHEN regexp_matches(t, '^.+?\s+[-—–]\s+.+$') THEN trim(regexp_extract(t, '^(.+?)\s+[-—–]\s+(.+)$', 1), ' ')
+  WHEN regexp_matches(t, '(?i)^.+?\s+at\s+.+$') THEN trim(regexp_extract(t, '(?i)^(.+?)\s+at\s+(.+)$', 2), ' ') WHEN regexp_matches(t, '^[^:]{2,60}:\s+.+$') THEN trim(regexp_extract(t, '^([^:]{2,60}):', 1), ' ') ELSE trim(substr(t, 1, 80), ' ') END AS company,
+CASE WHEN contains(t, '|') THEN trim(split_part(t, '|', 2), ' ') WHEN regexp_matches(t, '^.+?\s+[-—–]\s+.+$') THEN trim(regexp_extract(t, '^(.+?)\s+[-—–]\s+(.+)$', 2), ' ') WHEN regexp_matches(t, '(?i)^.+?\s+at\s+.+$') THEN trim(regexp_extract(t, '(?i)^(.+?)\s+at\s+(.+)$', 1), ' ') ELSE '' END AS title FROM k
+""")
+def hiring_lines(read):
+    """Company and title of each document's first line, some of its words turned into the marks of the five forms."""
+    first = F.trim(F.regexp_extract("text", r"^[^\n]*", 0))
+    k = F.col("doc_id") % 5
+    line = F.when(k == 0, F.replace(first, F.lit(". "), F.lit(" | "))).when(k == 1, F.replace(first, F.lit(", "), F.lit(" – "))).when(k == 2, F.replace(first, F.lit(" the "), F.lit(" at "))).when(k == 3, F.replace(first, F.lit(" of "), F.lit(": "))).otherwise(first)
+    found = pages.hiring_line(line)
+    return read("documents").select("doc_id", found["company"].alias("company"), found["title"].alias("title"))

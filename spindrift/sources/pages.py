@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.functions.text import html_to_text, slugify
+from spindrift.functions.text import bound, html_to_text, slugify
 from spindrift.sources.boards import POSTING, at
 
 LD_SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
@@ -115,6 +115,31 @@ def read_rss(spark, path: str, source: str) -> DataFrame:
     return rss(spark.read.format("xml").option("rowTag", "item").schema(schema).load(path), source)
 
 
+def hiring_line(line: Column) -> Column:
+    """(company, title) of a thread comment's first line, by the first of five forms that it has.
+
+    Company | Title | ..., Company - Title (any dash), Title at Company, Company: anything (no title), else the line's
+    first 80 characters as the company. Null lines are empty.
+    """
+
+    def read(t: Column) -> Column:
+        parts = F.transform(F.split(t, r"\|"), lambda x: F.trim(x))
+        dash, at, colon = r"^(.+?)\s+[-—–]\s+(.+)$", r"(?i)^(.+?)\s+at\s+(.+)$", r"^([^:]{2,60}):\s+(.+)$"
+
+        def both(company: Column, title: Column) -> Column:
+            return F.struct(F.trim(company).alias("company"), F.trim(title).alias("title"))
+
+        return (
+            F.when(t.contains("|"), both(parts[0], parts[1]))
+            .when(t.rlike(dash), both(F.regexp_extract(t, dash, 1), F.regexp_extract(t, dash, 2)))
+            .when(t.rlike(at), both(F.regexp_extract(t, at, 2), F.regexp_extract(t, at, 1)))
+            .when(t.rlike(colon), both(F.regexp_extract(t, colon, 1), F.lit("")))
+            .otherwise(both(F.substring(t, 1, 80), F.lit("")))
+        )
+
+    return bound(F.trim(F.coalesce(line, F.lit(""))), read)
+
+
 def thread_comments(comments: DataFrame) -> DataFrame:
     """Postings of thread comments (id, html, created): the first line reads Company | Title | Location ...; one a company and month."""
     first = html_to_text(F.get(F.split("html", r"(?i)<p>|\n"), 0))

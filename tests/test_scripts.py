@@ -54,3 +54,19 @@ def test_damaged_and_empty_pages(spark):
 def test_objects_as_a_column(spark):
     frame = spark.createDataFrame([(1, 'x = {"b": 1, "a": "é"};'), (2, None), (3, "y"), (4, "x = {oops}")], "id long, t string")
     assert {r.id: r.o for r in frame.select("id", objects_in(F.col("t"), "x =").alias("o")).collect()} == {1: '{"a": "é", "b": 1}', 2: None, 3: None, 4: None}
+
+
+def test_hiring_lines(spark):
+    from spindrift.sources.pages import hiring_line
+
+    lines = {"Acme Corp | Software Engineer | Remote": ("Acme Corp", "Software Engineer"), "Acme (YC S22) - Backend Engineer": ("Acme (YC S22)", "Backend Engineer"), "Acme — Data - Lead": ("Acme", "Data - Lead"), "Software Engineer AT Acme Corp": ("Acme Corp", "Software Engineer"), "Acme Corp: we are hiring": ("Acme Corp", ""), "x" * 100: ("x" * 80, ""), "|": ("", ""), "": ("", ""), None: ("", "")}
+    frame = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r.line: (r.h.company, r.h.title) for r in frame.select("line", hiring_line(F.col("line")).alias("h")).collect()} == lines
+
+
+def test_boards_that_pages_embed(spark):
+    from spindrift.functions.urls import page_target
+
+    found = {'<script src="https://boards.greenhouse.io/embed/job_board/js/acme">': ("greenhouse", "acme"), "see https://jobs.lever.co/ac-me/1 or https://jobs.ashbyhq.com/x": ("lever", "ac-me"), "https://acme.wd5.myworkdayjobs.com/site": ("workday", None), "workable.com/widget/job_board?x": ("workable", None), "nothing": (None, None), None: (None, None)}
+    frame = spark.createDataFrame([(k,) for k in found], "html string")
+    assert {r.html: (r.t.platform, r.t.slug) for r in frame.select("html", page_target(F.col("html")).alias("t")).collect()} == found
