@@ -43,8 +43,8 @@ def _of_number(code: Column) -> Column:
     return F.coalesce(F.try_element_at(known, code.cast("string")), F.when(code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(mark))
 
 
-def unescape(text: Column) -> Column:
-    """Numeric and named references resolved, each once; what is no reference stays as it is."""
+def unescape(text: Column, unclosed: bool = True) -> Column:
+    """Numeric and named references resolved, each once; what is no reference stays as it is, nor is one without a semicolon if unclosed is false."""
     named = {f"{n};": html5[f"{n};"] for n in COMMON} | {n: v for n, v in html5.items() if n.endswith(";")}
     bare = "|".join(map(re.escape, BARE))
 
@@ -63,8 +63,9 @@ def unescape(text: Column) -> Column:
             mark = F.when(reference.startswith("#"), numeric(reference)).when(reference != "", F.try_element_at(_table(named), reference))
             return F.concat(mark, F.substring(part, F.length(reference) + 1, F.length(part)))
 
-        full = bound(F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{1,31};)", 1), whole)
-        return F.coalesce(full, brief(part), F.concat(F.lit("&"), part))
+        end = ";?" if unclosed else ";"
+        full = bound(F.regexp_extract(part, rf"^(#[xX][0-9a-fA-F]+{end}|#[0-9]+{end}|[A-Za-z][A-Za-z0-9]{{1,31}};)", 1), whole)
+        return F.coalesce(full, *([brief(part)] if unclosed else []), F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&")
     return F.when(text.contains("&"), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(resolved(p))), "")).otherwise(text)
@@ -75,9 +76,9 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " "))
 
 
-def html_to_text(html: Column) -> Column:
-    """Entities resolved, tags to spaces, white space collapsed."""
-    return squeeze(F.regexp_replace(unescape(F.coalesce(html, F.lit(""))), r"<[^>]+>", " "))
+def html_to_text(html: Column, unclosed: bool = True) -> Column:
+    """Entities resolved (those without a semicolon too, unless unclosed is false), tags to spaces, white space collapsed."""
+    return squeeze(F.regexp_replace(unescape(F.coalesce(html, F.lit("")), unclosed), r"<[^>]+>", " "))
 
 
 def tokens(text: Column) -> Column:
