@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import jaccard, tokens
+from spindrift.functions.text import bound, jaccard, tokens
+from spindrift.operators.setjoin import candidates
 from spindrift.scratch import materialise
 
 
-#: Longs of the parity map that goes with each prefix token.
-WORDS = 8
-
-
 def near_duplicates(df: DataFrame, ident: str, block: Column, source: str, text: str, least: float = 0.6) -> DataFrame:
     """(a, b, similarity) of rows of one block and different sources whose token sets have a Jaccard similarity of least or more."""
     return similar_sets(df.select(F.col(ident).alias("id"), block.alias("block"), F.col(source).alias("only"), tokens(F.col(text)).alias("tokens")).where(F.col("only").isNotNull()), least)
@@ -21,36 +18,18 @@ def near_duplicates(df: DataFrame, ident: str, block: Column, source: str, text:
 def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, similarity) of similar token sets of one block, from id, block, only and tokens; two sets whose only is equal and not null are no pair.
 
-    A prefix filter makes it exact without comparing whole blocks: two sets that similar share one of the first
-    n - ceil(least * n) + 1 tokens of each, tokens ordered from rare to common. In the join, pairs are left out whose
-    sizes differ too much, whose tokens from the shared one on are too few, or whose parity maps (a bit flipped by each
-    token) differ in more bits than the sets may in tokens. Tokens stand as hashes until the last comparison; equal
-    hashes only add candidates.
+    Exact: candidates (setjoin.py) are all similar pairs and few others, found by hashes of tokens; the tokens themselves
+    (without white space, one text a set) are read again only for sets that are in a candidate, and compared.
     """
-    rows = materialise(sets.where(F.size("tokens") > 0), "token-sets")
-    words = rows.select("id", F.explode("tokens").alias("token"), "block").select("id", F.xxhash64("block", "token").alias("key"))
-    counts = words.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    spot = F.pmod(F.shiftrightunsigned("key", 7), F.lit(WORDS))
-    bit = F.expr("shiftleft(1L, cast(key & 63 AS int))")
-    maps = [F.bit_xor(F.when(spot == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    shared = F.filter(F.array_sort(F.collect_list(F.struct("n", "key"))), lambda x: x["n"] > 1)
-    ordered = words.join(counts, "key").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("size"), shared.alias("shared"), *maps)
-    held = [f"w{i}" for i in range(WORDS)]
-    # A token of one set alone joins nothing, but comes first in the order.
-    alone = F.col("size") - F.size("shared")
-    prefix = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
-    placed = ordered.select("id", "size", *held, alone.alias("alone"), F.posexplode(F.slice("shared", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("at", "p"))
-    placed = rows.select("id", "only").join(placed.select("id", "size", *held, (F.col("alone") + F.col("at") + 1).alias("at"), F.col("p.key").alias("key")), "id")
-    a, b = placed.alias("a"), placed.alias("b")
-    need = F.ceil((F.col("a.size") + F.col("b.size")) * (least / (1 + least)) - 1e-9)
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & F.coalesce(F.col("a.only") != F.col("b.only"), F.lit(True))
-    near = near & (F.least(F.col("a.size"), F.col("b.size")) >= need) & (F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) + 1 >= need)
-    differ = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in held[1:]), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-    near = near & (differ <= F.col("a.size") + F.col("b.size") - 2 * need)
-    pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = [rows.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}"), F.col("block").alias(f"block_{x}")) for x in "ab"]
+    kept = F.col("id"), F.col("block").cast("string").alias("block"), F.col("only").cast("string").alias("only")
+    rows = materialise(sets.where(F.size("tokens") > 0).select(*kept, F.concat_ws(" ", "tokens").alias("said")), "token-sets")
+    pairs = materialise(candidates(rows.select("id", "block", "only", F.transform(F.split("said", " "), lambda t: F.shiftright(F.xxhash64(t), 32).cast("int")).alias("words")), least), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    near = materialise(rows.select("id", "block", "said").join(ids, "id", "left_semi"), "candidate-sets")
+    side = [near.select(F.col("id").alias(x), F.col("said").alias(f"t{x}"), F.col("block").alias(f"block_{x}")) for x in "ab"]
     full = pairs.join(side[0], "a").join(side[1], "b").where("block_a = block_b")
-    return full.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)
+    alike = bound(F.struct(F.split("ta", " ").alias("ta"), F.split("tb", " ").alias("tb")), lambda t: jaccard(t["ta"], t["tb"]))
+    return materialise(full.select("a", "b", alike.alias("similarity")), "similarities").where(F.col("similarity") >= least)
 
 
 def survivors(rows: DataFrame, clusters: DataFrame, ident: str, order: list[Column]) -> DataFrame:
