@@ -26,21 +26,25 @@ def _holds(text: Column, words) -> Column:
 
 def roles(title: Column, years: Column | None = None) -> Column:
     """Categories of a title in order of priority; early careers join New Grad unless a senior word stands beside."""
-    t = F.lower(F.coalesce(title, F.lit("")))
     names = {c: f"c{i}" for i, c in enumerate(V.CATEGORY_ORDER)}
-    hits = F.struct(*[_holds(t, V.ROLE_TERMS[c]).alias(n) for c, n in names.items()])
-
-    def listed(hit: Column) -> Column:
-        any_role = F.lit(False)
-        for n in names.values():
-            any_role = any_role | hit[n]
-        early = t.rlike(V.EARLY_ALONE) | (any_role & t.rlike(V.EARLY_BESIDE))
-        if years is not None:
-            early = early | (any_role & F.coalesce(years <= 2, F.lit(False)))
-        junior = (hit[names["New Grad"]] | early) & ~t.rlike(V.SENIOR)
-        return F.array_compact(F.array(*[F.when(junior if c == "New Grad" else hit[n], F.lit(c)) for c, n in names.items()]))
-
-    return bound(hits, listed)
+
+    def judged(t: Column) -> Column:
+        # A term that holds another of its category can't add to it.
+        hits = F.struct(*[_holds(t, [w for w in V.ROLE_TERMS[c] if not any(o != w and o in w for o in V.ROLE_TERMS[c])]).alias(n) for c, n in names.items()])
+
+        def listed(hit: Column) -> Column:
+            any_role = F.lit(False)
+            for n in names.values():
+                any_role = any_role | hit[n]
+            early = t.rlike(V.EARLY_ALONE) | (any_role & t.rlike(V.EARLY_BESIDE))
+            if years is not None:
+                early = early | (any_role & F.coalesce(years <= 2, F.lit(False)))
+            junior = (hit[names["New Grad"]] | early) & ~t.rlike(V.SENIOR)
+            return F.array_compact(F.array(*[F.when(junior if c == "New Grad" else hit[n], F.lit(c)) for c, n in names.items()]))
+
+        return bound(hits, listed)
+
+    return bound(F.lower(F.coalesce(title, F.lit(""))), judged)
 
 
 def role_weight(categories: Column) -> Column:
