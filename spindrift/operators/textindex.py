@@ -28,6 +28,8 @@ WEIGHTS = (1.0, 0.4, 0.2, 0.1)
 BUCKETS = 64
 #: Bytes of text that a task turns into postings at a time.
 PIECE = 8 << 20
+#: Places that a search unpacks at a time, and documents whose places are Python objects at a time.
+PLACES, RANKED = 1 << 18, 256
 #: Places further apart than this add next to nothing to a rank of words together; how little, and the sum of 1/n**2.
 FAR, FAR_SHARE, SERIES = 100, 1e-30, 1.64493406685
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -122,11 +124,20 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _runs(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists hold about most values in all."""
+    ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, term, places, write), a row for each posting of blocks."""
-    for batch in batches:
+    for batch in (b for whole in batches for b in _runs(whole, "places", PLACES)):
         docs, counts = batch["docs"], batch["counts"].flatten().to_numpy(zero_copy_only=False)
-        of = pc.list_parent_indices(docs)
+        of = pa.array(np.repeat(np.arange(batch.num_rows), docs.value_lengths().to_numpy(zero_copy_only=False)))
         ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         places = pa.ListArray.from_arrays(ends, batch["places"].flatten())
         yield pa.RecordBatch.from_arrays([docs.flatten(), batch["term"].take(of), places, batch["write"].take(of)], names=["doc", "term", "places", "write"])
@@ -257,8 +268,11 @@ def search(spark: SparkSession, index: Index, query: str) -> DataFrame:
 
     @F.arrow_udf("double")
     def rank(*columns: pa.Array) -> pa.Array:
-        lists = [c.to_pylist() for c in columns]
-        return pa.array([judge([np.array(p or (), np.int64) for p in row], groups, order) for row in zip(*lists, strict=True)], pa.float64())
+        found = []
+        for at in range(0, len(columns[0]), RANKED):
+            lists = [c.slice(at, RANKED).to_pylist() for c in columns]
+            found += [judge([np.array(p or (), np.int64) for p in row], groups, order) for row in zip(*lists, strict=True)]
+        return pa.array(found, pa.float64())
 
     ranked = held.select("doc", rank(*[F.col(f"p{i}") for i in range(len(order))]).alias("rank"))
     return ranked.where(F.col("rank").isNotNull())
