@@ -17,8 +17,14 @@ COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "rsquo",
 BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: as a lambda's variable, which no later rule copies."""
+def bound(value: Column, use: Callable[[Column], Column], kind: str | None = None) -> Column:
+    """use(value) with the value computed once: as a lambda's variable, which no later rule copies.
+
+    Of several nested ones, all name the result's type: reading an array's element works out the type of all that lies
+    within, for every row and level anew, while an aggregate has it from its first value.
+    """
+    if kind:
+        return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: use(x))
     return F.get(F.transform(F.array(value), use), 0)
 
 
@@ -52,11 +58,11 @@ def unescape(text: Column, unclosed: bool = True) -> Column:
         digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
         # Numbers of over eight digits are beyond Unicode whatever they are.
         number = F.when(F.length(digits) > 8, F.lit(0x110000)).when(reference.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("long")).otherwise(F.concat(F.lit("0"), digits).try_cast("long"))
-        return bound(number, _of_number)
+        return bound(number, _of_number, "string")
 
     def brief(part: Column) -> Column:
         short = F.regexp_extract(part, f"^({bare})", 1)
-        return bound(short, lambda x: F.when(x != "", F.concat(F.try_element_at(_table({n: html5[n] for n in BARE}), x), F.substring(part, F.length(x) + 1, F.length(part)))))
+        return bound(short, lambda x: F.when(x != "", F.concat(F.try_element_at(_table({n: html5[n] for n in BARE}), x), F.substring(part, F.length(x) + 1, F.length(part)))), "string")
 
     def resolved(part: Column) -> Column:
         def whole(reference: Column) -> Column:
@@ -64,7 +70,7 @@ def unescape(text: Column, unclosed: bool = True) -> Column:
             return F.concat(mark, F.substring(part, F.length(reference) + 1, F.length(part)))
 
         end = ";?" if unclosed else ";"
-        full = bound(F.regexp_extract(part, rf"^(#[xX][0-9a-fA-F]+{end}|#[0-9]+{end}|[A-Za-z][A-Za-z0-9]{{1,31}};)", 1), whole)
+        full = bound(F.regexp_extract(part, rf"^(#[xX][0-9a-fA-F]+{end}|#[0-9]+{end}|[A-Za-z][A-Za-z0-9]{{1,31}};)", 1), whole, "string")
         return F.coalesce(full, *([brief(part)] if unclosed else []), F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&")
