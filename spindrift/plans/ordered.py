@@ -70,7 +70,7 @@ def stream_posted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = source.schema.simpleString()[7:-1].replace(":", " ")
     post = Ledger(f"{path}/ledger").sink(F.concat_ws(":", "user_id", "event_type"), [F.col("ts"), F.col("event_id")], time.time)
     for _ in range(2):
-        stream = read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+        stream = read_stream(spark, f"{sf_dir}/events.parque[t]", schema, most_files=None)
         run_available(stream, post, f"{path}/state")
     found = Ledger(f"{path}/ledger").posted(spark, stream.schema.simpleString()[7:-1].replace(":", " "))
     return found.select("event_id", "user_id", "event_type")

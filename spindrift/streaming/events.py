@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", most_files: int = 1) -> DataFrame:
-    """A stream of Parquet files; the time column becomes a timestamp, as watermarks need."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", most_files: int | None = 1) -> DataFrame:
+    """A stream of Parquet files; the time column becomes a timestamp, as watermarks need.
+
+    most_files are read in a trigger, all that wait if none: files that overlap in time must come together, as rows
+    behind the watermark of an earlier trigger are late and dropped.
+    """
+    source = spark.readStream.schema(schema)
+    rows = (source.option("maxFilesPerTrigger", most_files) if most_files else source).parquet(path)
     return rows.withColumn(time, F.col(time).cast("timestamp"))
 
 

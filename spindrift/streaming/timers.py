@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,11 +17,19 @@ from spindrift.streaming.events import CONSECUTIVE, LEAST_SAMPLES, MOST_ERRORS,
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 #: Failures that wait for a review at once.
 REVIEW_KINDS, REVIEW_CODES = ("bad_target", "anti_bot"), (403, 404, 410, 422, 429)
+#: What retries and breakers need of an outcome.
+OUTCOME, VISIT = ["at", "seq", "failed", "kind", "code", "asked"], ["at", "seq", "failed"]
 
 
-def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    """One trigger's rows of a key by time and sequence: the few columns that the state needs."""
-    return sorted((r for part in rows for r in part[columns].itertuples(index=False, name=None)), key=lambda r: r[:2])
+def _grouped(outcomes: DataFrame, key: str, columns: list[str]):
+    """Rows by key, the key and the columns that the state needs in the first places."""
+    rest = [c for c in outcomes.columns if c not in (key, *columns)]
+    return outcomes.select(key, *columns, *rest).groupBy(key)
+
+
+def _in_order(rows: Iterator[Row], n: int) -> list[tuple]:
+    """One trigger's rows of a key by time and sequence: the n columns that the state needs."""
+    return sorted((tuple(r[1 : n + 1]) for r in rows), key=lambda r: r[:2])
 
 
 def review(kind: str | None, code: int | None) -> bool:
@@ -48,34 +55,33 @@ class _Retries(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.held = handle, handle.getValueState("held", "attempt int, due long, waiting boolean")
 
-    def _row(self, key: tuple, due: int, attempt: int) -> pd.DataFrame:
-        return pd.DataFrame({"target": [key[0]], "due": [due], "attempt": [attempt]})
-
     def handleInputRows(self, key, rows, timerValues):
-        held = tuple(self.held.get()) if self.held.exists() else None
+        first = self.held.get()  # null without a value: each call is a message to the store
+        first = held = tuple(first) if first else None
         before = held[1] if held and held[2] else None
-        for at, _, failed, kind, code, asked in _in_order(rows, ["at", "seq", "failed", "kind", "code", "asked"]):
+        for at, _, failed, kind, code, asked in _in_order(rows, len(OUTCOME)):
             if held and held[2] and held[1] <= at:  # fell due before this row, whether or not its timer has run
-                yield self._row(key, held[1], held[0])
+                yield Row(target=key[0], due=held[1], attempt=held[0])
                 held = (*held[:2], False)
-            held = retry_step(held, at, kind, None if pd.isna(code) else int(code), None if pd.isna(asked) else float(asked)) if failed else None
+            held = retry_step(held, at, kind, code, asked) if failed else None
         after = held[1] if held and held[2] else None
         if before != after:
             if before is not None:
                 self.handle.deleteTimer(before)
             if after is not None:
                 self.handle.registerTimer(after)
-        if held:
+        if held and held != first:
             self.held.update(held)
-        else:
+        elif first and not held:
             self.held.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.held.exists():
-            attempt, due, waiting = self.held.get()
+        held = self.held.get()
+        if held:
+            attempt, due, waiting = held
             if waiting and due == expiredTimerInfo.getExpiryTimeInMs():
                 self.held.update((attempt, due, False))
-                yield self._row(key, due, attempt)
+                yield Row(target=key[0], due=due, attempt=attempt)
 
     def close(self) -> None:
         pass
@@ -87,7 +93,7 @@ def retries(outcomes: DataFrame, mode: str = "EventTime") -> DataFrame:
     outcomes: target, at (milliseconds), seq, failed, kind, code, asked (seconds a server asked for); with event time
     also a watermark on a column of its own.
     """
-    return outcomes.groupBy("target").transformWithStateInPandas(_Retries(), "target string, due long, attempt int", "Append", mode)
+    return _grouped(outcomes, "target", OUTCOME).transformWithState(_Retries(), "target string, due long, attempt int", "Append", mode)
 
 
 class _Breakers(StatefulProcessor):
@@ -98,14 +104,14 @@ class _Breakers(StatefulProcessor):
         self.state = handle.getValueState("state", "status string, opened long, streak int")
         self.last = handle.getListState("last", "failed int")
 
-    def _row(self, key: tuple, at: int, status: str, streak: int) -> pd.DataFrame:
-        return pd.DataFrame({"platform": [key[0]], "at": [at], "status": [status], "streak": [streak]})
+    def _row(self, key: tuple, at: int, status: str, streak: int) -> Row:
+        return Row(platform=key[0], at=at, status=status, streak=streak)
 
     def handleInputRows(self, key, rows, timerValues):
-        status, opened, streak = self.state.get() if self.state.exists() else ("closed", 0, 0)
+        status, opened, streak = self.state.get() or ("closed", 0, 0)
         before = opened if status == "open" else None
         last = [x[0] for x in self.last.get()]
-        for at, _, failed in _in_order(rows, ["at", "seq", "failed"]):
+        for at, _, failed in _in_order(rows, len(VISIT)):
             if status == "open" and at >= opened + RECOVERY_S * 1000:
                 status = "half_open"
                 yield self._row(key, opened + RECOVERY_S * 1000, status, streak)
@@ -148,7 +154,7 @@ def breaker_changes(outcomes: DataFrame, mode: str = "EventTime") -> DataFrame:
     breaker opens after CONSECUTIVE failures or MOST_ERRORS of its last WINDOW outcomes, half-opens RECOVERY_S later and
     then closes or opens again by one outcome, with a window begun anew.
     """
-    return outcomes.groupBy("platform").transformWithStateInPandas(_Breakers(), "platform string, at long, status string, streak int", "Append", mode)
+    return _grouped(outcomes, "platform", VISIT).transformWithState(_Breakers(), "platform string, at long, status string, streak int", "Append", mode)
 
 
 class _Remembered(StatefulProcessor):
@@ -159,9 +165,9 @@ class _Remembered(StatefulProcessor):
         self.seen = handle.getValueState("seen", "first long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        first = min((int(part["seq"].min()) for part in rows), default=None)
+        first = min((r.seq for r in rows if r.seq is not None), default=None)
         if first is not None and not self.seen.exists():
-            yield pd.DataFrame({"key": [key[0]], "seq": [first]})
+            yield Row(key=key[0], seq=first)
         self.seen.update((first or 0,))
 
     def close(self) -> None:
@@ -173,7 +179,7 @@ def first_seen(rows: DataFrame, ttl_s: float) -> DataFrame:
 
     rows: key (string), seq. Postings are remembered for 7 days, their fingerprints for 180.
     """
-    return rows.groupBy("key").transformWithStateInPandas(_Remembered(int(ttl_s * 1000)), "key string, seq long", "Append", "ProcessingTime")
+    return rows.groupBy("key").transformWithState(_Remembered(int(ttl_s * 1000)), "key string, seq long", "Append", "ProcessingTime")
 
 
 def millis(time: str):
