@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import bound, jaccard, tokens
-from spindrift.operators.setjoin import candidates
+from spindrift.functions.text import tokens
+from spindrift.operators.setjoin import candidates, similarities
 from spindrift.scratch import materialise
 
 
@@ -19,17 +19,12 @@ def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, similarity) of similar token sets of one block, from id, block, only and tokens; two sets whose only is equal and not null are no pair.
 
     Exact: candidates (setjoin.py) are all similar pairs and few others, found by hashes of tokens; the tokens themselves
-    (without white space, one text a set) are read again only for sets that are in a candidate, and compared.
+    (without white space, one text a set) are read again only for sets that are in a candidate, once a tile, and compared.
     """
     kept = F.col("id"), F.col("block").cast("string").alias("block"), F.col("only").cast("string").alias("only")
     rows = materialise(sets.where(F.size("tokens") > 0).select(*kept, F.concat_ws(" ", "tokens").alias("said")), "token-sets")
     pairs = materialise(candidates(rows.select("id", "block", "only", F.transform(F.split("said", " "), lambda t: F.shiftright(F.xxhash64(t), 32).cast("int")).alias("words")), least), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    near = materialise(rows.select("id", "block", "said").join(ids, "id", "left_semi"), "candidate-sets")
-    side = [near.select(F.col("id").alias(x), F.col("said").alias(f"t{x}"), F.col("block").alias(f"block_{x}")) for x in "ab"]
-    full = pairs.join(side[0], "a").join(side[1], "b").where("block_a = block_b")
-    alike = bound(F.struct(F.split("ta", " ").alias("ta"), F.split("tb", " ").alias("tb")), lambda t: jaccard(t["ta"], t["tb"]))
-    return materialise(full.select("a", "b", alike.alias("similarity")), "similarities").where(F.col("similarity") >= least)
+    return materialise(similarities(rows, pairs, least), "similarities")
 
 
 def survivors(rows: DataFrame, clusters: DataFrame, ident: str, order: list[Column]) -> DataFrame:
