@@ -29,6 +29,8 @@ SHARD, AT_ONCE = 1 << 16, 1 << 18
 ROWS, WORDS = 1 << 10, 1 << 20
 #: Homes of sets by the least hash of their words, which near copies share, and of those by their id.
 KINDS, SPREAD = 16, 16
+#: Bits by which texts that a pair may ask for are told.
+SPOTS = 1 << 25
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -223,11 +225,26 @@ def _shared(codes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray,
     return out
 
 
+def _asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, said) whose id is among ids, and few others: so texts that no pair asks for aren't shuffled."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(SPOTS))
+    bits = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits")).toArrow()  # at most SPOTS / 64 rows
+    held = np.zeros(SPOTS // 64, np.int64)
+    held[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["spot"].to_numpy()
+            yield batch.filter(pa.array((held[at >> 6] >> (at & 63) & 1).astype(bool))).select(["id", "said"])
+
+    return rows.withColumn("spot", spot).mapInArrow(keep, f"id {dict(rows.dtypes)['id']}, said string")
+
+
 def similarities(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of pairs (a, b, tile) whose words have a Jaccard similarity of least or more; rows: id, said (distinct words, a space between two)."""
     ident = dict(rows.dtypes)["id"]
     goes = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.col("tile").alias("to")).distinct()
-    sent = rows.select("id", "said").join(goes, "id")
+    sent = _asked(rows.select("id", "said"), goes).join(goes, "id")
 
     def judge(held: pa.Table, asked: pa.Table) -> pa.Table:
         lists = pc.split_pattern(held["said"].combine_chunks(), " ")
